@@ -1,3 +1,3 @@
 """Imports every query module, so that each registers its queries."""
 
-from stagecraft.queries import scalar  # noqa: F401
+from stagecraft.queries import changes, scalar, stages  # noqa: F401
