@@ -1,3 +1,3 @@
 """Imports every query module, so that each registers its queries."""
 
-from stagecraft.queries import catalog, changes, scalar, stages  # noqa: F401
+from stagecraft.queries import catalog, changes, scalar, scores, stages  # noqa: F401
