@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Stage-language call, number of arguments, replacement ($n = n-th argument).
@@ -142,13 +144,24 @@ def _conditional(e: Column, target: str) -> Column:
     return F.concat(F.lit("CASE "), F.array_join(pieces, " "), F.lit(" END"))
 
 
+def _rewrite_calls(e: Column, rewrites: list[tuple]) -> Column:
+    """All rewrites in order.  The cheap text test spares nearly every regex."""
+    text = json.dumps([
+        {"call": name + "(", "pattern": call_pattern(name, args), "replacement": replacement}
+        for name, args, replacement in rewrites
+    ])
+    # A constant: parsed once, when the plan is optimized.
+    rules = F.from_json(F.lit(text), "array<struct<call:string,pattern:string,replacement:string>>")
+    return F.aggregate(rules, e, lambda acc, r: F.when(
+        acc.contains(r["call"]), F.regexp_replace(acc, r["pattern"], r["replacement"])
+    ).otherwise(acc))
+
+
 def translate(expression, target: str = "spark") -> Column:
     """Translate a column of expressions; ``target`` is ``spark`` or ``sql``."""
     raw = F.col(expression) if isinstance(expression, str) else expression
     e = _strip(raw)
-    calls = e
-    for name, args, replacement in SPARK_REWRITES if target == "spark" else SQL_REWRITES:
-        calls = F.regexp_replace(calls, call_pattern(name, args), replacement)
+    calls = _rewrite_calls(e, SPARK_REWRITES if target == "spark" else SQL_REWRITES)
     concat = "concat(" if target == "spark" else "CONCAT("
     parts = F.transform(F.split(calls, ":"), _strip)
     joined = F.concat(F.lit(concat), F.array_join(parts, ", "), F.lit(")"))

@@ -52,11 +52,11 @@ def reject_paths(stages: DataFrame, quarantines: DataFrame) -> DataFrame:
 
 def credentials_scan(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, rule, match): every hit in the whole text."""
-    hits = F.concat(*[
-        F.transform(F.regexp_extract_all(text_column, F.lit(pattern), 0),
-                    lambda m, rule=rule: F.struct(F.lit(rule).alias("rule"), m.alias("match")))
-        for rule, pattern in CREDENTIAL_RULES.items()
-    ])
+    def hits_of(rule: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(text_column, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("match")))
+
+    hits = F.concat(*[hits_of(rule, pattern) for rule, pattern in CREDENTIAL_RULES.items()])
     return texts.select(id_column, F.explode(hits).alias("h")).select(id_column, "h.rule", "h.match")
 
 

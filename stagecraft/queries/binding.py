@@ -15,6 +15,7 @@ from stagecraft.catalog.vocab import STAGE_CATEGORIES, column_type_columns, stag
 from stagecraft.sources.connectors import COLUMN_TYPES
 from stagecraft.catalog.gates import ARTIFACTS
 from stagecraft.queries.registry import Tables
+from stagecraft.runtime import cut_lineage
 
 TYPES = [
     *STAGE_CATEGORIES, "PxSurrogateKey", "PxDataSet", "CustomStage", "PxUnheardOf",
@@ -44,8 +45,11 @@ def pick(items: list[str], index: Column) -> Column:
 
 
 class Catalog:
-    def __init__(self, t: Tables) -> None:
+    """``shared``: the stage rows feed several tables of one query, so they are stored once."""
+
+    def __init__(self, t: Tables, shared: bool = False) -> None:
         self.t = t
+        self.shared = shared
 
     @cached_property
     def base(self) -> DataFrame:
@@ -79,7 +83,7 @@ class Catalog:
             F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in entries.items()]),
             lambda e: e["v"].isNotNull(),
         ))
-        return (
+        rows = (
             self.base.withColumn("stage_type", pick(TYPES, pk % len(TYPES)))
             .select(
                 "*", F.concat(F.when(sk % 9 == 0, "EXCEPTION_OUT_").otherwise("STAGE_"),
@@ -89,6 +93,7 @@ class Catalog:
                 props.alias("props"),
             )
         )
+        return cut_lineage(rows) if self.shared else rows
 
     @cached_property
     def stages(self) -> DataFrame:

@@ -47,7 +47,7 @@ SCORES_SQL = FACTORS_SQL + """,
 
 
 def _scored(t: Tables) -> tuple[Catalog, dict[str, DataFrame]]:
-    cat = Catalog(t)
+    cat = Catalog(t, shared=True)
     return cat, catalog_scoring.score(cat.stages, cat.links, cat.derivations)
 
 
@@ -185,7 +185,7 @@ def _validated(cat: Catalog) -> DataFrame:
 
 @query("val_overall", DONE_CHECKS_SQL + OVERALL_SQL + " SELECT * FROM validated")
 def val_overall(t: Tables):
-    return _validated(Catalog(t))
+    return _validated(Catalog(t, shared=True))
 
 
 # --- quality gates -----------------------------------------------------------------------------
@@ -322,7 +322,7 @@ def qg_artifacts_present(t: Tables):
 @query("qg_gate_summary", PRESENT_SQL + """
     , s AS (SELECT conv_id AS job_id, max(length(text)) % 101 AS score, bool_or(role = 'system') AS critical FROM conversations GROUP BY ALL)
     SELECT p.job_id, count(*) FILTER (state = 'present') AS gates_passed, count(*) FILTER (state <> 'present') AS gates_failed,
-           score, CASE WHEN score >= 90 AND NOT critical THEN 1 ELSE 0 END AS passed FROM present p JOIN s ON s.job_id = p.job_id GROUP BY ALL, score, critical""")
+           score, CASE WHEN score >= 90 AND NOT critical THEN 1 ELSE 0 END AS passed FROM present p JOIN s ON s.job_id = p.job_id GROUP BY p.job_id, score, critical""")
 def qg_gate_summary(t: Tables):
     results = _present(t).select("job_id", F.when(c("state") == "present", "PASS").otherwise("FAIL").alias("result"))
     scores = t.conversations.groupBy(c("conv_id").alias("job_id")).agg(
