@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stagecraft.runtime import fresh_path
 
 
-def drain_append(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Append-mode parquet sink (exactly once by its own log); returns the written rows."""
+def drain_append(stream: DataFrame, path: str | None = None, state: str | None = None) -> DataFrame:
+    """Append-mode parquet sink (exactly once by its own log); returns the written rows.
+
+    Called again with the same path and state folder it goes on where it stopped.
+    """
     spark = stream.sparkSession
     path = path or fresh_path(spark, "stream-out")
+    state = state or fresh_path(spark, "stream-state")
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", fresh_path(spark, "stream-state"))
+        .option("checkpointLocation", state)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -42,7 +46,8 @@ def drain_updates(stream: DataFrame, keys: list[str], path: str | None = None) -
 
 def newest(spark: SparkSession, path: str, like: DataFrame, keys: list[str]) -> DataFrame:
     values = [c for c in like.columns if c not in keys]
-    rows = spark.read.schema(like.schema.add("batch", "bigint")).parquet(path)
+    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(path)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(
         *keys, *[F.col(f"_v.{v}").alias(v) for v in values]
     )
