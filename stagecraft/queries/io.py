@@ -182,7 +182,9 @@ def _record(xml: str) -> Column:
 def _parsed(t: Tables) -> DataFrame:
     """Records written as XML text and parsed back, one at a time."""
     rows = stage_records(Catalog(t, shared=True))
-    return jobxml.stages(rows.select("job_id", c("ord").alias("pos"), _record("xml").alias("rec")))
+    # The one-element explode keeps later filters from parsing the text a second time.
+    recs = rows.select("job_id", c("ord").alias("pos"), F.explode(F.array(_record("xml"))).alias("rec"))
+    return jobxml.stages(recs)
 
 
 XML_STAGES_SQL = CATALOG_SQL + """

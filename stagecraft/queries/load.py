@@ -1,3 +1,3 @@
 """Imports every query module, so that each registers its queries."""
 
-from stagecraft.queries import catalog, changes, io, quality, scalar, scores, stages, streams  # noqa: F401
+from stagecraft.queries import catalog, changes, io, jobs, quality, scalar, scores, stages, streams  # noqa: F401
