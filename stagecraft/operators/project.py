@@ -27,8 +27,8 @@ def holds(condition: Column) -> Column:
 
 
 def filter_rows(df: DataFrame, condition: Column) -> Branches:
-    keep = holds(condition)
-    return Branches(df.where(keep), df.where(~keep))
+    """``main`` keeps the bare condition, whose parts Spark can push into the scan."""
+    return Branches(df.where(condition), df.where(~holds(condition)))
 
 
 def with_route(df: DataFrame, routes: dict[str, Column], otherwise: str = "otherwise",
