@@ -93,8 +93,9 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, d
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    # The predicate names data columns too: Spark refuses a scan of the corrupt column alone.
-    bad = F.col(CORRUPT).isNotNull()
+    # Always true, but keeps a data column in the scan: Spark refuses to read the corrupt one alone.
+    read = F.coalesce(F.length(F.col(schema.fieldNames()[0]).cast("string")), F.lit(0)) >= 0
+    bad = F.col(CORRUPT).isNotNull() & read
     main = raw.where(~bad).drop(CORRUPT)
     reject = raw.where(bad).withColumn("_reject_reason", F.lit("malformed line"))
     return Branches(main, reject)
