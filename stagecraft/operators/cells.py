@@ -120,12 +120,13 @@ def neighbour(
     data = df.withColumn(CELL, cell)
     carried = list(dict.fromkeys([*order, *values.values()]))
     edge = F.min if step == 1 else F.max
-    pick = F.min_by if step == 1 else F.max_by
-    position = F.struct(*order)
-    edges = data.groupBy(*keys, CELL).agg(
-        edge(position).alias("_at"),
-        pick(F.struct(*carried), position).alias("_row"),
-    )
+    # The order is total, so the edge row is the least (greatest) struct.  A single column needs no
+    # struct and aggregates by hash.
+    lead_values = edge(carried[0]) if len(carried) == 1 else edge(F.struct(*carried))
+    edges = data.groupBy(*keys, CELL).agg(lead_values.alias("_row"))
+    from_row = [F.col("_row").alias(carried[0])] if len(carried) == 1 else [
+        F.col(f"_row.{c}").alias(c) for c in carried
+    ]
     cells = Window.partitionBy(*keys).orderBy(CELL)
     # The edge row of a cell joins the cell on the side it is a neighbour of.
     shifted = F.lag(CELL).over(cells) if step == 1 else F.lead(CELL).over(cells)
@@ -134,7 +135,7 @@ def neighbour(
         .where(F.col("_to").isNotNull())
         .select(
             *[k for k in keys if k not in carried],
-            *[F.col(f"_row.{c}").alias(c) for c in carried],
+            *from_row,
             F.col("_to").alias(CELL), F.lit(True).alias("_border"),
         )
     )

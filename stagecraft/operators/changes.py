@@ -189,9 +189,34 @@ def as_of(dim: DataFrame, date) -> DataFrame:
     return dim.where((F.col("EFF_START_DATE") <= d) & (d < F.col("EFF_END_DATE")))
 
 
-def join_as_of(facts: DataFrame, dim: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Each fact with the version valid at its date; an equi-join on the key plus a range check."""
-    when = F.col(at).cast("date")
-    return facts.join(dim, keys, "inner").where(
-        (F.col("EFF_START_DATE") <= when) & (when < F.col("EFF_END_DATE"))
+def join_as_of(facts: DataFrame, dim: DataFrame, keys: list[str], at: str, days: int = 30) -> DataFrame:
+    """Each fact with the version of its key valid at its date (versions of a key do not overlap).
+
+    Facts and versions share one timeline per (key, cell of ``days``) and the newest version is
+    carried forward, so no fact meets more than one version and a hot key is many cells.  A cell
+    starts with the last version of the key's earlier cells.
+    """
+    versions = [c for c in dim.columns if c not in keys]
+    kept = F.struct(*versions)
+    timeline = facts.withColumn("_at", F.col(at).cast("date")).withColumn("_kind", F.lit(2)).unionByName(
+        dim.select(*keys, F.col("EFF_START_DATE").alias("_at"), F.lit(1).alias("_kind"), kept.alias("_version")),
+        allowMissingColumns=True,
+    ).withColumn("_cell", day_cells(F.col("_at"), days))
+    ends = timeline.groupBy(*keys, "_cell").agg(
+        F.max_by("_version", F.when(F.col("_kind") == 1, F.col("_at"))).alias("_version")
+    )
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "_cell", F.last("_version", ignorenulls=True).over(before).alias("_version"),
+                         F.lit(0).alias("_kind")).where("_version IS NOT NULL")
+    so_far = Window.partitionBy(*keys, "_cell").orderBy(
+        F.when(F.col("_kind") == 0, 0).otherwise(1), "_at", "_kind"
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = timeline.unionByName(starts, allowMissingColumns=True).withColumn(
+        "_valid", F.last("_version", ignorenulls=True).over(so_far)
+    )
+    # A NULL key is in no version's group by equality.
+    for k in keys:
+        placed = placed.where(F.col(k).isNotNull())
+    return placed.where((F.col("_kind") == 2) & (F.col("_at") < F.col("_valid.EFF_END_DATE"))).select(
+        *facts.columns, *[F.col(f"_valid.{v}").alias(v) for v in versions]
     )

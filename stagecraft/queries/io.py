@@ -65,10 +65,13 @@ def src_parquet(t: Tables):
     SELECT l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem
     WHERE strftime(l_shipdate, '%Y-%m') = '1998-03'""")
 def src_param_path(t: Tables):
-    """One dated folder of a partitioned file set; only that folder is listed and read."""
+    """One dated folder of a partitioned file set; only that folder is listed and read.
+
+    The rebalance hint gives few files per month and still splits a month that holds most rows.
+    """
     root = fresh_path(t.spark, "dated")
     t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.date_format("l_shipdate", "yyyy-MM").alias("month")) \
-        .repartition("month").write.partitionBy("month").parquet(root)
+        .hint("rebalance", "month").write.partitionBy("month").parquet(root)
     stage = {"stage_type": "PxS3Connector", "properties": {"File": "${ROOT}/month=${DS_RUNDATE}"}}
     rows = connectors.read_source(t.spark, stage, {"ROOT": root, "DS_RUNDATE": "1998-03"})
     return rows.withColumn("month", F.lit("1998-03"))

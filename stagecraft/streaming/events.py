@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stagecraft.operators.cells import width_cells
@@ -71,31 +71,38 @@ DURATION_SCHEMA = (
 
 
 def _update_duration(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds one trigger's events of one (job, stage) into (status, start, end, duration)."""
-    status, at, start, end, took = state.get if state.exists else (None, -1, None, None, None)
-    active, ended = [], []
+    """Folds one trigger's events of one (job, stage) into (status, start, end, begin, took).
+
+    Works chunk by chunk; of the events seen it holds only the starts after the last end.  Events
+    of one (job, stage) are in order from one trigger to the next.
+    """
+    status, at, start, end, begin = state.get if state.exists else (None, -1, None, None, None)
+    open_starts = np.array([] if start is None or (end is not None and start <= end) else [start], dtype=np.int64)
     for pdf in batches:
-        t = pdf["micros"].to_numpy()
-        kind = pdf["status"].to_numpy()
-        active.append(t[kind == "active"])
-        ended.append(t[(kind == "done") | (kind == "error")])
+        t, kind = pdf["micros"].to_numpy(), pdf["status"].to_numpy()
         newest = int(t.argmax())
         if t[newest] >= at:
             at, status = int(t[newest]), kind[newest]
-    active, ended = np.concatenate(active), np.concatenate(ended)
-    if ended.size:
-        end = int(ended.max())
-        before = active[active <= end]
-        begin = int(before.max()) if before.size else start
-        took = None if begin is None else round((end - begin) / 1e6, 1)
-    if active.size:
-        start = max(int(active.max()), start or 0)
-    state.update((status, at, start, end, took))
-    stamp = lambda v: pd.NaT if v is None else pd.Timestamp(v, unit="us", tz="UTC")
+        active, ended = t[kind == "active"], t[(kind == "done") | (kind == "error")]
+        if active.size:
+            start = int(active.max()) if start is None else max(start, int(active.max()))
+        if ended.size:
+            end = int(ended.max()) if end is None else max(end, int(ended.max()))
+        open_starts = np.concatenate([open_starts, active])
+        if end is not None:
+            before = open_starts[open_starts <= end]
+            if before.size:
+                begin = int(before.max()) if begin is None else max(begin, int(before.max()))
+            open_starts = open_starts[open_starts > end]
+    state.update((status, at, start, end, begin))
+
+    def stamp(v):
+        return pd.NaT if v is None else pd.Timestamp(v, unit="us", tz="UTC")
+
+    took = np.nan if end is None or begin is None else round((end - begin) / 1e6, 1)
     yield pd.DataFrame({
         "job_id": [key[0]], "stage_id": [key[1]], "status": [status],
-        "started_at": [stamp(start)], "completed_at": [stamp(end)],
-        "duration": [np.nan if took is None else took],
+        "started_at": [stamp(start)], "completed_at": [stamp(end)], "duration": [took],
     })
 
 
@@ -106,7 +113,7 @@ def stage_durations_stream(events: DataFrame) -> DataFrame:
     )
     return marks.groupBy("job_id", "stage_id").applyInPandasWithState(
         _update_duration, DURATION_SCHEMA,
-        "status string, at bigint, start bigint, end bigint, took double",
+        "status string, at bigint, start bigint, end bigint, begin bigint",
         "update", GroupStateTimeout.NoTimeout,
     )
 
@@ -132,29 +139,38 @@ def job_state(events: DataFrame) -> DataFrame:
 
 # --- reviews ---------------------------------------------------------------------------------
 
-def review_outcomes(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds: int = 86_400) -> DataFrame:
+def _spread(marks: DataFrame, wait: int, cell_seconds: int) -> Column:
+    """The cells a mark is shown in: a request in its own, a decision also in those before it that
+    can still wait for it."""
+    cell = width_cells(_seconds(F.col("ts")), cell_seconds)
+    reach = -(-wait // cell_seconds)
+    return F.when(F.col("is_decision"), F.sequence(cell - reach, cell)).otherwise(F.array(cell))
+
+
+def _marks(events: DataFrame) -> DataFrame:
+    return events.where("event IN ('human_review', 'decision')").select(
+        "event_id", "job_id", "ts", (F.col("event") == "decision").alias("is_decision")
+    )
+
+
+def review_outcomes(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds: int = 300) -> DataFrame:
     """Batch: each review request with the first decision inside the wait, else ``timeout``.
 
-    Requests and decisions share one timeline per (job, day), so no pairs are built and a busy job
-    is many day-groups.  The first decision of a day is also shown to the day before.
+    Requests and decisions share one timeline per (job, cell), so no pairs are built and a busy job
+    is many cells.  Of a cell's decisions only the first is shown to the cells before it.
     """
-    if cell_seconds < wait:
-        raise ValueError("a cell must be at least as long as the wait")
-    marks = events.where("event IN ('human_review', 'decision')").select(
-        "event_id", "job_id", "ts", (F.col("event") == "decision").alias("is_decision"),
-        width_cells(_seconds(F.col("ts")), cell_seconds).alias("_cell"),
-    )
+    cell = width_cells(_seconds(F.col("ts")), cell_seconds)
+    marks = _marks(events).withColumn("_cell", cell)
+    reach = -(-wait // cell_seconds)
     first = marks.where("is_decision").groupBy("job_id", "_cell").agg(F.min("ts").alias("ts")).select(
         F.lit(None).cast("bigint").alias("event_id"), "job_id", "ts", F.lit(True).alias("is_decision"),
-        (F.col("_cell") - 1).alias("_cell"),
+        F.explode(F.sequence(F.col("_cell") - reach, F.col("_cell") - 1)).alias("_cell"),
     )
-    from pyspark.sql import Window
     w = Window.partitionBy("job_id", "_cell").orderBy("ts", "is_decision").rowsBetween(
         Window.currentRow, Window.unboundedFollowing
     )
     timeline = marks.unionByName(first).withColumn("_next", F.min(F.when(F.col("is_decision"), F.col("ts"))).over(w))
-    lag = _seconds(F.col("_next")) - _seconds(F.col("ts"))
-    in_time = lag <= wait
+    in_time = _seconds(F.col("_next")) - _seconds(F.col("ts")) <= wait
     return timeline.where(~F.col("is_decision")).select(
         F.col("event_id").alias("request_id"), "job_id", F.col("ts").alias("requested_at"),
         F.when(in_time, F.col("_next")).alias("decided_at"),
@@ -162,38 +178,51 @@ def review_outcomes(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds:
     )
 
 
-def review_outcomes_stream(events: DataFrame, decisions: DataFrame, wait: int = REVIEW_SECONDS) -> DataFrame:
-    """Stream-stream left outer interval join of requests with decisions (append mode).
+REVIEW_SCHEMA = "request_id bigint, job_id bigint, requested_at timestamp, decided_at timestamp, outcome string"
+
+
+def review_outcomes_stream(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds: int = 300) -> DataFrame:
+    """Stream: the same.  A (job, cell) gathers its requests and the decisions they may wait for,
+    and answers once the watermark has passed the last possible decision (append mode).
 
-    The join key holds a time bucket of the wait's length, so one busy job is spread over its
-    buckets and state is dropped as the watermark passes.  A request looks into its own bucket and
-    the next; ``first_decision`` merges the two.
+    Sorted search instead of pairs; a busy job is spread over its cells, and a cell's state is
+    gone when it has answered.
     """
-    bucket = F.floor(_seconds(F.col("ts")) / wait).cast("bigint")
-    requests = (
-        events.where("event = 'human_review'").withWatermark("ts", WATERMARK)
-        .select(F.col("event_id").alias("request_id"), "job_id", F.col("ts").alias("requested_at"),
-                F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    marks = _marks(events.withWatermark("ts", WATERMARK))
+    spread = marks.select(
+        "event_id", "job_id", "is_decision", "ts", F.unix_micros("ts").alias("micros"),
+        F.explode(_spread(marks, wait, cell_seconds)).alias("cell"),
     )
-    answers = (
-        decisions.where("event = 'decision'").withWatermark("ts", WATERMARK)
-        .select(F.col("job_id").alias("d_job"), F.col("ts").alias("decided_at"), bucket.alias("d_bucket"))
-    )
-    return requests.join(
-        answers,
-        F.expr(
-            "job_id = d_job AND bucket = d_bucket AND decided_at >= requested_at "
-            f"AND decided_at <= requested_at + INTERVAL {wait} SECONDS"
-        ),
-        "leftOuter",
-    ).select("request_id", "job_id", "requested_at", "decided_at")
-
 
-def first_decision(pairs: DataFrame) -> DataFrame:
-    """Merge the two buckets of a request."""
-    return pairs.groupBy("request_id", "job_id", "requested_at").agg(
-        F.min("decided_at").alias("decided_at")
-    ).withColumn("outcome", F.when(F.col("decided_at").isNotNull(), "decided").otherwise("timeout"))
+    def answer(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, asked, decided = state.get if state.exists else ([], [], [])
+        ids, asked, decided = ([int(v) for v in x] for x in (ids, asked, decided))
+        if state.hasTimedOut:
+            state.remove()
+            at, known = np.array(asked, dtype=np.int64), np.sort(np.array(decided, dtype=np.int64))
+            place = np.searchsorted(known, at, side="left")
+            found = np.append(known, np.iinfo(np.int64).max)[place]
+            in_time = (place < known.size) & (found - at <= wait * 1_000_000)
+            if at.size:
+                yield pd.DataFrame({
+                    "request_id": ids, "job_id": key[0], "requested_at": pd.to_datetime(at, unit="us", utc=True),
+                    "decided_at": pd.to_datetime(pd.Series(found).where(pd.Series(in_time)).astype("Int64"), unit="us", utc=True),
+                    "outcome": np.where(in_time, "decided", "timeout"),
+                })
+            return
+        for pdf in batches:
+            is_decision = pdf["is_decision"].to_numpy(dtype=bool)
+            decided += pdf["micros"].to_numpy()[is_decision].tolist()
+            ids += pdf["event_id"].to_numpy()[~is_decision].tolist()
+            asked += pdf["micros"].to_numpy()[~is_decision].tolist()
+        state.update((ids, asked, decided))
+        closes = ((int(key[1]) + 1) * cell_seconds + wait) * 1000
+        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
+
+    return spread.groupBy("job_id", "cell").applyInPandasWithState(
+        answer, REVIEW_SCHEMA, "ids array<bigint>, asked array<bigint>, decided array<bigint>",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 # --- retries ---------------------------------------------------------------------------------
@@ -204,7 +233,6 @@ def retry_outcomes(attempts: DataFrame, retries: int = MAX_RETRIES, passing: flo
     The first passing attempt, else attempt ``retries + 1``, else the last so far.  Spark keeps at
     most ``retries + 1`` rows per job and task before the shuffle.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy("job_id").orderBy("ts", "event_id")
     tried = attempts.withColumn("n", F.row_number().over(w)).where(F.col("n") <= retries + 1)
     passed = F.min(F.when(F.col("score") >= passing, F.col("n")))
