@@ -109,7 +109,7 @@ def call_pattern(name: str, args: int | str) -> str:
 
 
 def _strip(e: Column) -> Column:
-    return F.regexp_replace(e, r"^\s+|\s+$", "")
+    return F.btrim(e, F.lit(" \t\n\r\f\v"))
 
 
 def _literal(v: Column) -> Column:

@@ -15,7 +15,7 @@ from stagecraft.catalog.vocab import STAGE_CATEGORIES, column_type_columns, stag
 from stagecraft.sources.connectors import COLUMN_TYPES
 from stagecraft.catalog.gates import ARTIFACTS
 from stagecraft.queries.registry import Tables
-from stagecraft.runtime import cut_lineage
+from stagecraft.runtime import store
 
 TYPES = [
     *STAGE_CATEGORIES, "PxSurrogateKey", "PxDataSet", "CustomStage", "PxUnheardOf",
@@ -55,8 +55,10 @@ class Catalog:
     def base(self) -> DataFrame:
         return self.t.lineitem.groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("ord")).agg(
             F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"),
-            F.min("l_quantity").cast("bigint").alias("q"), F.max("l_returnflag").alias("rf"),
-            F.max("l_linestatus").alias("ls"),
+            F.min("l_quantity").cast("bigint").alias("q"),
+            # Numbers, not texts: these aggregate by hash.
+            F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"),
+            F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("is_open"),
         )
 
     @cached_property
@@ -93,7 +95,7 @@ class Catalog:
                 props.alias("props"),
             )
         )
-        return cut_lineage(rows) if self.shared else rows
+        return store(rows, "stages") if self.shared else rows
 
     @cached_property
     def stages(self) -> DataFrame:
@@ -104,7 +106,7 @@ class Catalog:
     def links(self) -> DataFrame:
         """To the next line, and from a branching stage also to the second next: one equi-join."""
         steps = F.array_compact(F.array(
-            F.when(F.col("rf") != "R", F.lit(1)), F.when(F.col("output_pins") > 1, F.lit(2))
+            F.when(F.col("returned") == 0, F.lit(1)), F.when(F.col("output_pins") > 1, F.lit(2))
         ))
         wanted = self.staged.select(
             "job_id", F.col("stage_id").alias("from_stage"), "ord", F.explode(steps).alias("step"),

@@ -243,7 +243,7 @@ def cat_topological_level(t: Tables):
 def cat_cycle_check(t: Tables):
     """The catalog's links plus some that lead back."""
     cat = Catalog(t)
-    loops = cat.staged.where("output_pins = 3 AND ls = 'O'").select("job_id", c("stage_id").alias("from_stage"))
+    loops = cat.staged.where("output_pins = 3 AND is_open = 1").select("job_id", c("stage_id").alias("from_stage"))
     links = cut_lineage(cat.links.select("job_id", "from_stage", "to_stage"))
     back = links.join(loops, ["job_id", "from_stage"], "left_semi").select(
         "job_id", c("to_stage").alias("from_stage"), c("from_stage").alias("to_stage"))

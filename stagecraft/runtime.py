@@ -68,5 +68,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Also ends lineage; preferred where several readers need few of many columns, since the scan
+    prunes columns and knows the table's size.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
