@@ -57,6 +57,13 @@ class Memo(dict):
         return value
 
 
+def tune_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches of long texts small: a Python worker holds a few megabytes of text at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def map_arrow(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with one ``RecordBatch -> dict of columns`` function per task.
 
