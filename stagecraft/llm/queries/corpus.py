@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagecraft.llm import exact_dedup, mixing, packing, simhash
+from stagecraft.llm import exact_dedup, mixing, packing, simhash, toxicity
 from stagecraft.llm.queries.registry import query
 from stagecraft.llm.util import hex64
 from stagecraft.runtime import table
@@ -40,3 +40,11 @@ def near_groups(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_mix_sources")
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    grammar = toxicity.fit_labels(docs, table(spark, folder, "labels"), held_out=toxicity.is_held_out())
+    scored = toxicity.score_documents(docs, grammar)
+    return scored.select(F.col("id").alias("doc_id"), toxicity.is_held_out("id").alias("held_out"), "score", "predicted")
