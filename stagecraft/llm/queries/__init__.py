@@ -1,6 +1,6 @@
-"""Queries of the operators over the driver tables; importing this package registers nothing by itself."""
+"""Queries of the operators over the driver tables."""
 
-from stagecraft.llm.queries import corpus
+from stagecraft.llm.queries import corpus, dialogue  # noqa: F401  (each registers its queries)
 from stagecraft.llm.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus"]
+__all__ = ["ORACLES", "QUERIES"]

@@ -113,14 +113,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(known, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One document of each near-duplicate group, the one with the least id, with all its columns.
 
     A row without an id stays only where its whole group has none.  Ids held by several rows are decided
     by fingerprint, and of several rows with a group's least id one stays.
     """
     names = free_names(docs, "id", "mark", "root")
-    groups = store(near_groups(docs, id_col, text_col), "groups")
+    groups = store(near_groups(docs, id_col, text_col, words), "groups")
     keep = F.col("id").eqNullSafe(F.col("component_id"))
     ids = groups.groupBy(F.col("id").alias(names["id"])).agg(F.count(F.lit(1)).alias("n"), F.max(keep).alias("keep"))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(names["id"]))
@@ -128,7 +128,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated = ids.where("n > 1").select(names["id"])
     if not repeated.isEmpty():
         roots = groups.where(keep).select(F.col("fingerprint").alias(names["mark"]), F.col("component_id").alias(names["root"])).distinct()
-        again = docs.join(repeated, same, "left_semi").withColumn(names["mark"], fingerprint_column(text_col))
+        again = docs.join(repeated, same, "left_semi").withColumn(names["mark"], fingerprint_column(text_col, words))
         again = again.join(roots, names["mark"]).where(F.col(f"`{id_col}`").eqNullSafe(F.col(names["root"])))
         kept = kept.unionByName(again.dropDuplicates([names["root"]]).select(*[F.col(f"`{c}`") for c in docs.columns]))
     return kept

@@ -33,7 +33,7 @@ TARGET_FACTOR = 1.25  # of an insult beside a target
 NEGATED = 0.6         # of an insult after a negation
 REPORTED = 0.6        # of an insult after a reporting verb
 REACH = 3             # words a negation reaches
-PREFIXES = (4, 5, 6)  # lengths of learned word beginnings
+PREFIXES = (3, 4, 5, 6, 7)  # lengths of learned word beginnings
 
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 PLAIN, END = 0, 1     # marks; others are tuples
