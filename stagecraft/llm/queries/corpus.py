@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagecraft.llm import exact_dedup, mixing, packing, simhash, toxicity
+from stagecraft.llm import exact_dedup, mixing, ngram, packing, simhash, toxicity
 from stagecraft.llm.queries.registry import query
-from stagecraft.llm.util import hex64
+from stagecraft.llm.util import hex64, id_crc
 from stagecraft.runtime import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,3 +48,8 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     grammar = toxicity.fit_labels(docs, table(spark, folder, "labels"), held_out=toxicity.is_held_out())
     scored = toxicity.score_documents(docs, grammar)
     return scored.select(F.col("id").alias("doc_id"), toxicity.is_held_out("id").alias("held_out"), "score", "predicted")
+
+
+@query("op5_lm_scores")
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram.score_documents(table(spark, folder, "documents"), id_crc("doc_id") % 10 == 0).withColumnRenamed("id", "doc_id")
