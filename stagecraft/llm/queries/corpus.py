@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagecraft.llm import exact_dedup, mixing, ngram, packing, simhash, toxicity
+from stagecraft.llm import exact_dedup, mixing, ngram, packing, simhash, substrings, toxicity
 from stagecraft.llm.queries.registry import query
 from stagecraft.llm.util import hex64, id_crc
 from stagecraft.runtime import table
@@ -53,3 +53,9 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_lm_scores")
 def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ngram.score_documents(table(spark, folder, "documents"), id_crc("doc_id") % 10 == 0).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
