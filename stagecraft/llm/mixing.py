@@ -108,7 +108,7 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 16,
-        shard_docs: int = 20_000, seed: int = 20_240_601) -> DataFrame:
+        shard_docs: int = 4_000, seed: int = 20_240_601) -> DataFrame:
     """(id, size, source_size, target, taken) of each document; ``taken`` counts repeated words twice.
 
     NULL text has no words and takes none; NULL is a source of its own, sorted last; rows with equal id and
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 16,
-                    shard_docs: int = 20_000, seed: int = 20_240_601) -> DataFrame:
+                    shard_docs: int = 4_000, seed: int = 20_240_601) -> DataFrame:
     """The documents of the mix, whole, once or twice each, with all their columns.
 
     A document is in as often as at least half of its words are taken.  Since documents lie in seeded
