@@ -222,8 +222,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay = F.sum(F.col("kept").cast("int"))
     drop = store(groups.groupBy(F.col("id").alias(names["id"]), F.col("digest").alias(names["digest"])).agg(
         stay.alias(names["stay"]), F.count(F.lit(1)).alias(names["of"])).where(f"{names['stay']} < {names['of']}"), "drop")
+    # Always by a merge join: what is dropped grows with the input and fits no broadcast for long.
     marked = docs.withColumn(names["own"], digest_column(text_col)).join(
-        drop, F.col(f"`{id_col}`").eqNullSafe(F.col(names["id"])) & (F.col(names["own"]) == F.col(names["digest"])), "left")
+        drop.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col(names["id"])) & (F.col(names["own"]) == F.col(names["digest"])), "left")
     out = marked.where(f"{names['stay']} is null")
     one = drop.where(f"{names['stay']} > 0")
     if not one.isEmpty():
