@@ -186,7 +186,7 @@ def checklist(normalized: DataFrame, derivations: DataFrame) -> DataFrame:
         item(F.col("output_pin_count") > 1, "branch", F.col("output_pin_count").cast("string")),
         item(F.lower("stage_id").contains("exception") | F.lower("stage_type").contains("peek"),
              "exception_sink", none),
-        item(F.coalesce("sql_query", F.lit("")) != "", "source_sql", F.substring("sql_query", 1, 200)),
+        item(F.coalesce("sql_query", F.lit("")) != "", "source_sql", F.col("sql_query")),
     ))
     staged = normalized.select("job_id", "stage_id", F.explode(items).alias("i")).select(
         "job_id", "i.item", "stage_id", "i.detail"

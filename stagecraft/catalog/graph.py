@@ -7,6 +7,7 @@ the longest path, not with the number of jobs, and each round ends in a reliable
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,16 +18,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def peel(stages: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def peel(stages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Take off the stages without inbound links, round by round.
 
     Returns (job_id, stage_id, level) and the leftovers (job_id, stage_id), which lie on or behind
-    a cycle.  The level is the longest path from a stage without inbound links.
+    a cycle.  The level is the longest path from a stage without inbound links.  Links with an end
+    that is no stage of the job are left out.  Every round takes off a stage or ends, so a deep job
+    takes its rounds and no bound cuts them short.
     """
     nodes = stages.select("job_id", "stage_id")
     edges = links.select("job_id", "from_stage", "to_stage").distinct()
+    for end in ("from_stage", "to_stage"):
+        edges = edges.join(nodes.withColumnRenamed("stage_id", end), ["job_id", end], "left_semi")
     done: list[DataFrame] = []
-    for level in range(max_rounds):
+    for level in count():
         blocked = edges.select("job_id", F.col("to_stage").alias("stage_id"), F.lit(True).alias("_blocked")).distinct()
         flagged = cut_lineage(nodes.join(blocked, ["job_id", "stage_id"], "left"))
         ready = flagged.where(F.col("_blocked").isNull()).drop("_blocked")
@@ -40,34 +45,33 @@ def peel(stages: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> tuple
         edges = edges.join(rest.withColumnRenamed("stage_id", "from_stage"), ["job_id", "from_stage"], "left_semi")
         edges = cut_lineage(edges)
         nodes = rest
-    raise RuntimeError(f"graph is deeper than {max_rounds} levels")
 
 
-def topological_levels(stages: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def topological_levels(stages: DataFrame, links: DataFrame) -> DataFrame:
     """Level per stage; stages on or behind a cycle have level NULL.  Order = (level, stage_id)."""
-    leveled, rest = peel(stages, links, max_rounds)
+    leveled, rest = peel(stages, links)
     return leveled.unionByName(rest.withColumn("level", F.lit(None).cast("int")))
 
 
-def cyclic_stages(stages: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def cyclic_stages(stages: DataFrame, links: DataFrame) -> DataFrame:
     """Stages on a cycle, or between two cycles: peeled from both ends."""
-    _, behind = peel(stages, links, max_rounds)
+    _, behind = peel(stages, links)
     kept = behind.withColumnRenamed("stage_id", "to_stage")
     back = links.join(kept, ["job_id", "to_stage"], "left_semi").select(
         "job_id", F.col("to_stage").alias("from_stage"), F.col("from_stage").alias("to_stage")
     )
-    _, rest = peel(behind, back, max_rounds)
+    _, rest = peel(behind, back)
     return rest
 
 
-def reach(starts: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reach(starts: DataFrame, links: DataFrame) -> DataFrame:
     """(job_id, source, stage_id, hops): fewest links from each start to each stage it reaches."""
     edges = links.select("job_id", F.col("from_stage").alias("stage_id"), "to_stage").distinct()
     frontier = cut_lineage(starts.select(
         "job_id", F.col("stage_id").alias("source"), "stage_id", F.lit(0).alias("hops")
     ))
     seen = [frontier]
-    for hop in range(1, max_rounds):
+    for hop in count(1):
         step = (
             frontier.join(edges, ["job_id", "stage_id"])
             .select("job_id", "source", F.col("to_stage").alias("stage_id")).distinct()
@@ -78,15 +82,14 @@ def reach(starts: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> Data
         if frontier.isEmpty():
             return _union(seen)
         seen.append(frontier)
-    raise RuntimeError(f"graph is deeper than {max_rounds} links")
 
 
-def lineage_closure(classified: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def lineage_closure(classified: DataFrame, links: DataFrame) -> DataFrame:
     """(job_id, source, target, hops) for every source that reaches a target."""
     sources = classified.where("io = 'source'")
     targets = classified.where("io = 'target'").select("job_id", "stage_id")
     return (
-        reach(sources, links, max_rounds)
+        reach(sources, links)
         .join(targets, ["job_id", "stage_id"], "left_semi")
         .select("job_id", "source", F.col("stage_id").alias("target"), "hops")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -96,10 +97,12 @@ def edges(columns: DataFrame, derivations: DataFrame, stages: DataFrame, links:
     )
 
 
-def end_to_end(node_rows: DataFrame, edge_rows: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def end_to_end(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Source columns of every target column: fewest hops, that path, lowest confidence on any path.
 
-    State is one row per (source column, reached column); a cyclic graph is reported, not looped.
+    State is one row per (source column, reached column).  A round passes on only what it reached first
+    or with a lower confidence than before; confidences cannot fall for ever, so a job with a cycle ends
+    like the others.
     """
     step = cut_lineage(edge_rows.select(
         "job_id", F.col("from_stage").alias("at_stage"), F.col("from_column").alias("at_column"),
@@ -116,19 +119,21 @@ def end_to_end(node_rows: DataFrame, edge_rows: DataFrame, max_rounds: int = 1_0
     )
     who = ["job_id", "source_stage", "source_column", "at_stage", "at_column"]
     reached: list[DataFrame] = []
-    for hop in range(1, max_rounds):
+    best = state.select(*who, "confidence")
+    for hop in count(1):
         moved = state.join(step, ["job_id", "at_stage", "at_column"]).select(
             "job_id", "source_stage", "source_column",
             F.col("to_stage").alias("at_stage"), F.col("to_column").alias("at_column"),
             F.concat_ws("/", "path", "to_stage").alias("path"),
             F.least("confidence", "edge_confidence").alias("confidence"),
         )
-        state = cut_lineage(moved.groupBy(*who).agg(F.min("path").alias("path"), F.min("confidence").alias("confidence")))
+        found = moved.groupBy(*who).agg(F.min("path").alias("path"), F.min("confidence").alias("confidence"))
+        known = best.withColumnRenamed("confidence", "_best")
+        state = cut_lineage(found.join(known, who, "left").where("_best IS NULL OR confidence < _best").drop("_best"))
         if state.isEmpty():
             break
+        best = cut_lineage(best.unionByName(state.select(*who, "confidence")).groupBy(*who).agg(F.min("confidence").alias("confidence")))
         reached.append(state.join(ends, ["job_id", "at_stage", "at_column"], "left_semi").withColumn("hops", F.lit(hop)))
-    else:
-        raise RuntimeError("column lineage has a cycle or is deeper than the round bound")
     if not reached:
         reached = [state.withColumn("hops", F.lit(0))]
     return reduce(DataFrame.unionByName, reached).groupBy(*who).agg(

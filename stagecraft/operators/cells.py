@@ -9,30 +9,11 @@ the data as a border row, so there is no join and NULL keys work like any other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-
-CELL = "_cell"
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stagecraft.runtime import store
 
-def order_code(df: DataFrame, name: str) -> Column:
-    """A number that never decreases when the column's value increases (NULL first)."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):
-        low, high = df.agg(F.min(col), F.max(col)).first()
-        shared = 0
-        for a, b in zip((low or "").encode(), (high or "").encode()):
-            if a != b:
-                break
-            shared += 1
-        # Six bytes after the prefix that all values share, read as a number.
-        tail = F.expr(f"substring(encode(`{name}`, 'UTF-8'), {shared + 1}, 6)")
-        return F.conv(F.rpad(F.hex(tail), 12, "0"), 16, 10).cast("double")
-    return col.cast("double")
+CELL = "_cell"
 
 
 def width_cells(col: Column, width: int) -> Column:
@@ -44,28 +25,18 @@ def day_cells(col: Column, days: int = 30) -> Column:
     return width_cells(F.unix_date(col.cast("date")), days)
 
 
-def quantile_cells(df: DataFrame, name: str, rows_per_cell: int = 2_000_000) -> Column:
-    """Cells of about equal row counts.
+RANGE = "_range"
+
+
+def range_cells(df: DataFrame, order: list[Column], rows_per_cell: int = 2_000_000) -> DataFrame:
+    """The table with a column ``_range``: consecutive ranges of a whole order, of about equal row counts.
 
-    One aggregate pass over the one column returns at most 1024 split points, whatever the data.
+    Spark's range partitioning splits by all order columns in their directions, so rows that agree in the
+    leading one, long texts with a shared beginning and descending columns are cut like any other.  The
+    dealt-out rows are stored, since later passes must see the same ranges.
     """
-    code = order_code(df, name)
-    steps = [i / 1024 for i in range(1, 1024)]
-    rows, points = df.agg(
-        F.count(F.lit(1)), F.percentile_approx(code, steps, 20_000)
-    ).first()
-    cells = min(1024, max(1, -(-rows // rows_per_cell)))
-    if cells == 1 or points is None:
-        return F.lit(0).cast("long")
-    picked = sorted({points[int(i * 1024 / cells) - 1] for i in range(1, cells)})
-
-    def bisect(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(code < F.lit(picked[mid]), bisect(lo, mid)).otherwise(bisect(mid + 1, hi))
-
-    return F.when(code.isNull(), F.lit(-1)).otherwise(bisect(0, len(picked))).cast("long")
+    cells = max(1, -(-df.count() // rows_per_cell))
+    return store(df.repartitionByRange(cells, *order).withColumn(RANGE, F.spark_partition_id().cast("long")), "ranges")
 
 
 def number_rows(

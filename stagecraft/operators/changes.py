@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stagecraft.functions.maths import checksum
-from stagecraft.operators.cells import day_cells, neighbour, number_rows, quantile_cells
+from stagecraft.operators.cells import RANGE, day_cells, neighbour, number_rows, range_cells
+from stagecraft.runtime import store
 
 OPEN_END = "9999-12-31"
 
@@ -27,17 +30,21 @@ def rank_rows(df: DataFrame, keys: list[str], order: str, tiebreak: str, cell: C
 def surrogate_key(df: DataFrame, order: str, start: int = 0, name: str = "sk",
                   rows_per_cell: int = 2_000_000) -> DataFrame:
     """Dense ids ``start + 1 ...`` in the order of a unique column, without a global window."""
-    cell = quantile_cells(df, order, rows_per_cell)
-    numbered = number_rows(df, [], [F.col(order)], cell, row_number=name)
-    return numbered.withColumn(name, F.col(name) + F.lit(start))
+    dealt = range_cells(df, [F.col(order)], rows_per_cell)
+    numbered = number_rows(dealt, [], [F.col(order)], F.col(RANGE), row_number=name)
+    return numbered.withColumn(name, F.col(name) + F.lit(start)).drop(RANGE)
 
 
 def assign_surrogate_keys(dim: DataFrame, incoming: DataFrame, business_key: str, sk: str = "sk",
                           rows_per_cell: int = 2_000_000) -> DataFrame:
     """New business keys continue after the dimension's highest id."""
     top = dim.agg(F.coalesce(F.max(sk), F.lit(0))).first()[0]
-    fresh = incoming.join(dim.select(business_key), business_key, "left_anti").dropDuplicates([business_key])
-    return surrogate_key(fresh, business_key, top, sk, rows_per_cell)
+    fresh = incoming.join(dim.select(business_key), business_key, "left_anti")
+    # The least row of each key, by its other columns in their order, so reruns agree.
+    others = [c for c in incoming.columns if c != business_key]
+    one = fresh.groupBy(business_key).agg(F.min(F.struct(*others)).alias("_row")) if others else fresh.distinct()
+    picked = one.select(*[F.col(c) if c == business_key else F.col(f"_row.{c}").alias(c) for c in incoming.columns])
+    return surrogate_key(store(picked, "new-keys"), business_key, top, sk, rows_per_cell)
 
 
 def with_record_hash(df: DataFrame, columns: list[str], name: str = "record_hash") -> DataFrame:
@@ -49,8 +56,11 @@ def _struct(side: str, cols: list[str]) -> Column:
 
 
 def _paired(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Both images side by side.  Each image holds a key at most once, so no key is hot here."""
-    on = [F.col(f"b.{k}") == F.col(f"a.{k}") for k in keys]
+    """Both images side by side; NULL keys meet NULL keys.
+
+    Each image holds a key at most once, so no key is hot here.
+    """
+    on = [F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
     return (
         before.withColumn("_in", F.lit(True)).alias("b")
         .join(after.withColumn("_in", F.lit(True)).alias("a"), on, "full")
@@ -76,11 +86,22 @@ def change_capture(before: DataFrame, after: DataFrame, keys: list[str], columns
     )
 
 
+def single(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """The same rows, but the plan raises an error where a key occurs twice."""
+    twice = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    message = F.concat(F.lit(f"{what}: key occurs more than once: "),
+                       F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys]))
+    return df.withColumn("_once", F.when(twice, F.raise_error(message)).otherwise(F.lit(True))).where("_once").drop("_once")
+
+
 def merge_upsert(master: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Update matched keys, insert new ones, keep the rest.  A matched NULL does overwrite."""
+    """Update matched keys, insert new ones, keep the rest.  A matched NULL does overwrite.
+
+    Two updates of one key are an error; master rows are taken as they are.
+    """
     values = [c for c in master.columns if c not in keys]
     given = set(updates.columns)
-    pairs = _paired(master, updates, keys)
+    pairs = _paired(master, single(updates, keys, "merge"), keys)
     hit = F.col("a._in").isNotNull()
     return pairs.select(
         *[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys],
@@ -102,7 +123,9 @@ def merge_update_reject(master: DataFrame, updates: DataFrame, keys: list[str])
 def change_apply(before: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Apply the rows of ``change_capture`` to a before-image."""
     acts = changes.where("change <> 'unchanged'")
-    untouched = before.select(*keys, *columns).join(acts.select(*keys), keys, "left_anti")
+    done = acts.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    untouched = before.select(*keys, *columns).join(done, same, "left_anti")
     written = acts.where("change in ('insert', 'update')").select(
         *keys, *[F.col(f"new_{c}").alias(c) for c in columns]
     )
@@ -118,9 +141,13 @@ def collapse_unchanged(versions: DataFrame, keys: list[str], order: list[str], c
                        cell: Column | None = None) -> DataFrame:
     """Drop a version whose columns equal those of the version before it."""
     cell = day_cells(F.col(order[0])) if cell is None else cell
-    hashed = versions.withColumn("_hash", checksum(*columns))
-    seen = neighbour(hashed, keys, order, cell, {"_last": "_hash"}, step=-1)
-    return seen.where(~F.col("_hash").eqNullSafe(F.col("_last"))).drop("_hash", "_last")
+    # The columns themselves are compared, NULL-safe: no text rendering can make two versions alike.
+    before = {f"_last_{i}": c for i, c in enumerate(columns)}
+    seen = neighbour(versions.withColumn("_row", F.lit(True)), keys, order, cell, {"_has_last": "_row", **before}, step=-1)
+    same = F.col("_has_last").isNotNull()
+    for last, column in before.items():
+        same = same & F.col(column).eqNullSafe(F.col(last))
+    return seen.where(~same).drop("_row", "_has_last", *before)
 
 
 def scd2_history(versions: DataFrame, keys: list[str], order: list[str], cell: Column | None = None) -> DataFrame:
@@ -142,22 +169,24 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, keys: list[str], columns: li
     dim: keys, columns, EFF_START_DATE, EFF_END_DATE, IS_CURRENT_FLAG.  Closed versions stay.  A
     changed current version is expired at the run date and followed by a new one; a new key is
     inserted; an unchanged or absent key stays open.  Loading the same snapshot again adds nothing.
+    NULL keys meet NULL keys; a key that occurs twice in the snapshot is an error.
     """
     day = F.lit(run_date).cast("date")
     closed = dim.where("IS_CURRENT_FLAG = 0")
     current = dim.where("IS_CURRENT_FLAG = 1")
-    pairs = _paired(current, snapshot, keys)
+    pairs = _paired(current, single(snapshot, keys, "snapshot"), keys)
     same = _struct("b", columns).eqNullSafe(_struct("a", columns))
     has_old, has_new = F.col("b._in").isNotNull(), F.col("a._in").isNotNull()
     changed = has_old & has_new & ~same
-    kind = "struct<" + ",".join(
-        f"`{f.name}`:{f.dataType.simpleString()}" for f in dim.schema.fields if f.name in columns
-    ) + ",s:date,e:date,c:int>"
-    old = F.struct(*[F.col(f"b.{c}").alias(c) for c in columns], F.col("b.EFF_START_DATE").alias("s"),
-                   F.when(changed, day).otherwise(F.col("b.EFF_END_DATE")).alias("e"),
-                   F.when(changed, 0).otherwise(1).alias("c")).cast(kind)
-    new = F.struct(*[F.col(f"a.{c}").alias(c) for c in columns], day.alias("s"),
-                   F.lit(OPEN_END).cast("date").alias("e"), F.lit(1).alias("c")).cast(kind)
+
+    def version(side: str, start: Column, end: Column, flag: Column) -> Column:
+        """Fields by name, each cast to the dimension's own type."""
+        return F.struct(*[F.col(f"{side}.{c}").cast(dim.schema[c].dataType).alias(c) for c in columns],
+                        start.cast("date").alias("s"), end.cast("date").alias("e"), flag.cast("int").alias("c"))
+
+    old = version("b", F.col("b.EFF_START_DATE"), F.when(changed, day).otherwise(F.col("b.EFF_END_DATE")),
+                  F.when(changed, 0).otherwise(1))
+    new = version("a", day, F.lit(OPEN_END), F.lit(1))
     versions = F.filter(
         F.array(F.when(has_old, old), F.when(has_new & (~has_old | changed), new)),
         lambda v: v.isNotNull(),

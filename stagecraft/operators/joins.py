@@ -2,64 +2,31 @@
 
 Inner, left and right joins are plain equi-joins, which AQE splits on skewed keys.  Spark cannot
 split a skewed full outer join, so that one is a left join plus the unmatched right rows.
-Broadcasts happen only behind a counted size.
+Broadcasts are left to Spark, which measures the side at run time, unless the caller asks for one.
 """
 
 from __future__ import annotations
 
-import logging
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stagecraft.operators.project import Branches
 
-log = logging.getLogger(__name__)
-
 # The stage language's join names and the reject text.
 JOIN_TYPES = {
     "Inner": "inner", "LeftOuter": "left", "RightOuter": "right",
     "FullOuter": "outer", "Cross": "cross", "Lookup": "left",
 }
-BROADCAST_THRESHOLD = 10_000_000  # rows
-
-# A broadcast table must also fit in memory on every executor.
-BROADCAST_BYTES = 256 * 1024 * 1024
-CROSS_ROWS = 100_000
-
-_WIDTHS = {"string": 64, "binary": 64, "boolean": 1, "tinyint": 1, "smallint": 2,
-           "int": 4, "float": 4, "date": 4}
-
 
 def join_type(name: str | None) -> str:
     """Spark join type of a declared join name; unknown names mean inner."""
     return JOIN_TYPES.get(name or "", "inner")
 
 
-def _row_width(df: DataFrame) -> int:
-    return 16 + sum(_WIDTHS.get(t, 64 if t[:5] in ("array", "struc", "map<s") else 16) for _, t in df.dtypes)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_THRESHOLD,
-                   max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Counts the rows (a distributed aggregate that reads no columns) and bounds the bytes."""
-    rows = df.count()
-    return rows <= max_rows and rows * _row_width(df) <= max_bytes
-
-
-def sized(df: DataFrame, max_rows: int = BROADCAST_THRESHOLD) -> DataFrame:
-    """Hint a join side: broadcast when it fits, sort-merge otherwise."""
-    if fits_broadcast(df, max_rows):
-        return F.broadcast(df)
-    log.warning("join side is over the broadcast bound, using sort-merge")
-    return df.hint("merge")
-
-
 def join_stage(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equally named keys; ``how`` is a declared name or a Spark join type."""
     how = JOIN_TYPES.get(how, how)
     if how == "cross":
-        return cross_bounded(left, right)
+        return cross(left, right)
     if how in ("outer", "full"):
         return _full_outer(left, right, keys)
     if how not in ("inner", "left", "right"):
@@ -74,11 +41,9 @@ def _full_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return matched.unionByName(extra, allowMissingColumns=True)
 
 
-def cross_bounded(left: DataFrame, right: DataFrame, max_rows: int = CROSS_ROWS) -> DataFrame:
-    """Every left row with every row of a side that is counted to be small."""
-    if not fits_broadcast(right, max_rows):
-        raise ValueError(f"cross join needs a right side of at most {max_rows} rows")
-    return left.crossJoin(F.broadcast(right))
+def cross(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every left row with every right row, whatever their numbers; Spark picks how by their sizes."""
+    return left.crossJoin(right)
 
 
 def join_with_reject(left: DataFrame, right: DataFrame, keys: list[str],
@@ -101,13 +66,14 @@ def one_per_key(ref: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def lookup(df: DataFrame, ref: DataFrame, keys: list[str], no_match: str = "Continue",
-           defaults: dict[str, object] | None = None, threshold: int = BROADCAST_THRESHOLD,
-           hint: bool = True) -> Branches:
+           defaults: dict[str, object] | None = None, how: str | None = None) -> Branches:
     """Lookup stage.  ``ref`` must be unique per key (see ``one_per_key``).
 
     no_match: Continue (keep, NULL or default), Drop, Reject (second output) or Fail (raise).
+    ``how`` is a join hint (``broadcast``, ``merge``, ...) for callers who know the reference's size; without
+    it Spark decides by the size measured at run time, against the session's broadcast bound.
     """
-    side = sized(ref, threshold) if hint else ref
+    side = ref.hint(how) if how else ref
     reason = F.lit(f"No match on {','.join(keys)}")
     nobody = df.where(F.lit(False)).withColumn("_reject_reason", reason)
     if no_match == "Drop":
@@ -133,8 +99,3 @@ def lookup(df: DataFrame, ref: DataFrame, keys: list[str], no_match: str = "Cont
         for c in values
     ]
     return Branches(flagged.select(*df.columns, *filled), nobody)
-
-
-def same_keys(a: str, b: str, keys: list[str]) -> Column:
-    """NULL-safe equality of the keys of two aliased sides."""
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])

@@ -67,15 +67,16 @@ def null_safe(col, default=0) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(default))
 
 
-def typed_cast(df: DataFrame, declared: list[tuple[str, str]]) -> Branches:
-    """Cast to the declared types; rows where a present value does not fit are rejected."""
+def typed_cast(df: DataFrame, declared: list[tuple[str, str]], required: list[str] | None = None) -> Branches:
+    """Cast to the declared types; rows where a present value does not fit, or a required one is NULL, are rejected."""
     casts = [F.col(n).try_cast(t).alias(n) for n, t in declared]
     names = {n for n, _ in declared}
     rest = [c for c in df.columns if c not in names]
     misfits = [
         F.when(F.col(n).isNotNull() & F.col(n).try_cast(t).isNull(), F.lit(n)) for n, t in declared
     ]
-    reason = F.concat_ws(",", *misfits)
+    absent = [F.when(F.col(n).isNull(), F.lit(n)) for n in required or []]
+    reason = F.concat_ws(",", *misfits, *absent)
     fits = reason == ""
     main = df.where(fits).select(*rest, *casts)
     reject = df.where(~fits).withColumn("_reject_reason", F.concat(F.lit("bad value in "), reason))

@@ -57,7 +57,7 @@ def reconcile_rows(source: DataFrame, target: DataFrame, keys: list[str], column
     """(keys, state, changed): missing, extra and changed rows; keys are unique on both sides."""
     a = source.select(*keys, *columns).withColumn("_in", F.lit(True)).alias("a")
     b = target.select(*keys, *columns).withColumn("_in", F.lit(True)).alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     changed = F.concat_ws(",", *[
         F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns
     ])

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stagecraft.operators.cells import number_rows
+from stagecraft.operators.cells import RANGE, number_rows, range_cells
 
 
 def pivot_rows(df: DataFrame, keys: list[str], column: str, values: list[str],
@@ -50,9 +50,13 @@ def sort_rows(df: DataFrame, keys: str, tiebreak: str | None = None) -> DataFram
     return df.orderBy(*order, *([F.col(tiebreak)] if tiebreak else []))
 
 
-def sort_positions(df: DataFrame, keys: str, tiebreak: str, cell: Column, name: str = "position") -> DataFrame:
-    """The sort order as a column, without ordering the table inside one task."""
-    return number_rows(df, [], [*sort_expressions(keys), F.col(tiebreak)], cell, row_number=name)
+def sort_positions(df: DataFrame, keys: str, tiebreak: str, name: str = "position", rows_per_cell: int = 2_000_000) -> DataFrame:
+    """The sort order as a column, without ordering the table inside one task.
+
+    Cells are ranges of the whole order in its own directions, so descending keys count from their end.
+    """
+    order = [*sort_expressions(keys), F.col(tiebreak)]
+    return number_rows(range_cells(df, order, rows_per_cell), [], order, F.col(RANGE), row_number=name).drop(RANGE)
 
 
 def partition_hash(df: DataFrame, n: int, *keys: str) -> DataFrame:

@@ -306,7 +306,7 @@ CHECKLIST_SQL = CATALOG_SQL + """,
       UNION ALL SELECT job_id, 'join', stage_id, coalesce(p_jtype, 'unknown') FROM stages WHERE stage_type IN ('PxJoin', 'PxLookup')
       UNION ALL SELECT job_id, 'branch', stage_id, CAST(output_pins AS VARCHAR) FROM stages WHERE output_pins > 1
       UNION ALL SELECT job_id, 'exception_sink', stage_id, NULL FROM stages WHERE stage_id LIKE 'EXCEPTION%' OR stage_type = 'PxPeekStage'
-      UNION ALL SELECT job_id, 'source_sql', stage_id, left(p_sql, 200) FROM stages WHERE p_sql IS NOT NULL
+      UNION ALL SELECT job_id, 'source_sql', stage_id, p_sql FROM stages WHERE p_sql IS NOT NULL
       UNION ALL SELECT job_id, 'computed_column', stage_id, output_column FROM derivations)"""
 
 

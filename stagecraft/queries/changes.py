@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stagecraft.functions.maths import checksum
 from stagecraft.operators import changes, joins, shape
-from stagecraft.operators.cells import quantile_cells, width_cells
+from stagecraft.operators.cells import width_cells
 from stagecraft.queries.registry import Tables, query
 
 c = F.col
@@ -278,8 +278,7 @@ def funnel_sorted(t: Tables):
 def stage_sort(t: Tables):
     rows = t.orders.select("o_orderkey", c("o_orderdate").cast("date").alias("day"),
                            F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("prio"))
-    cell = width_cells(F.unix_date("day"), 7)
-    return shape.sort_positions(rows, "day ASC, prio DESC", "o_orderkey", cell).select("o_orderkey", "position")
+    return shape.sort_positions(rows, "day ASC, prio DESC", "o_orderkey").select("o_orderkey", "position")
 
 
 CONTENT = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem"
@@ -313,5 +312,5 @@ def partition_same(t: Tables):
     SELECT s_name, count(*) AS lines FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
 def partition_entire(t: Tables):
     """A whole copy of the side for every task: a size-checked broadcast."""
-    whole = joins.sized(t.supplier.select(c("s_suppkey").alias("l_suppkey"), "s_name"))
+    whole = t.supplier.select(c("s_suppkey").alias("l_suppkey"), "s_name")
     return t.lineitem.select("l_suppkey").join(whole, "l_suppkey").groupBy("s_name").agg(F.count(F.lit(1)).alias("lines"))

@@ -240,12 +240,12 @@ def src_job_directory(t: Tables):
 
 # --- sinks -------------------------------------------------------------------------------------
 
-@query("sink_append", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("sink_append", "SELECT o_orderkey, o_orderstatus FROM orders")
 def sink_append(t: Tables):
     path = fresh_path(t.spark, "append")
     rows = t.orders.select("o_orderkey", "o_orderstatus")
     sinks.write_path(rows.where("o_orderstatus = 'F'"), path, sinks.write_mode("APPEND"))
-    sinks.write_path(rows.where("o_orderstatus = 'O'"), path, sinks.write_mode("no such mode"))
+    sinks.write_path(rows.where("o_orderstatus <> 'F' OR o_orderstatus IS NULL"), path, sinks.write_mode("no such mode"))
     return t.spark.read.schema(rows.schema).parquet(path)
 
 
@@ -287,7 +287,7 @@ def sink_create_if_missing(t: Tables):
 
 @query("sink_quarantine", f"""
     SELECT o_orderkey AS orderkey, 'No match on custkey' AS _reject_reason, '{RUN_DATE}' AS reject_day FROM orders
-    WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000)""")
+    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000)""")
 def sink_quarantine(t: Tables):
     from stagecraft.operators.joins import join_with_reject
     from stagecraft.queries.stages import active_customers, order_rows
@@ -298,11 +298,11 @@ def sink_quarantine(t: Tables):
     return t.spark.read.parquet(path).select("orderkey", "_reject_reason", c("_reject_date").cast("string").alias("reject_day"))
 
 
-@query("sink_delimited_file", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand FROM part WHERE p_size > 25")
+@query("sink_delimited_file", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand FROM part")
 def sink_delimited_file(t: Tables):
     path = fresh_path(t.spark, "csv")
     stage = {"stage_type": "PxSequentialFile", "properties": {"File": path + "/exceptions_${DS_RUNDATE}"}}
-    rows = t.part.where("p_size > 25").select("p_partkey", "p_name", "p_brand")
+    rows = t.part.select("p_partkey", "p_name", "p_brand")
     written = sinks.write_sink(rows, stage, {"DS_RUNDATE": RUN_DATE})
     return t.spark.read.option("header", True).schema("p_partkey string, p_name string, p_brand string").csv(written)
 

@@ -9,7 +9,7 @@ from stagecraft.plans import customer_sales
 from stagecraft.queries.changes import IMAGES, VALUES, after, before
 from stagecraft.queries.registry import Tables, query
 from stagecraft.queries.stages import (
-    JOIN_SQL, SALE_OPTIONS, SALES_SQL, active_customers, customers, order_rows, sales,
+    JOIN_SQL, SETTLED, SALE_OPTIONS, SALES_SQL, active_customers, customers, order_rows, sales,
 )
 
 c = F.col
@@ -51,12 +51,12 @@ def dq_rule_report(t: Tables):
     })
 
 
-@query("dq_join_report", JOIN_SQL.split("SELECT custkey, orderkey")[0] + """
+@query("dq_join_report", JOIN_SQL.split("SELECT custkey, orderkey")[0].format(settled=SETTLED) + """
     SELECT count(*) FILTER (custkey IN (SELECT custkey FROM r)) AS matched_left, count(*) FILTER (custkey NOT IN (SELECT custkey FROM r)) AS unmatched_left,
            (SELECT count(*) FROM r WHERE custkey NOT IN (SELECT custkey FROM l)) AS unmatched_right,
            (SELECT count(*) FROM l JOIN r USING (custkey)) AS joined_rows, 1::BIGINT AS max_fan_out FROM l""")
 def dq_join_report(t: Tables):
-    return quality.join_report(order_rows(t), active_customers(t), ["custkey"])
+    return quality.join_report(order_rows(t, settled=True), active_customers(t), ["custkey"])
 
 
 @query("dq_reconcile_totals", """

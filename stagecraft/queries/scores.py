@@ -26,18 +26,18 @@ FACTORS_SQL = HINTS_SQL + f""",
               count(*) FILTER (io = 'source') AS sources, count(*) FILTER (io = 'target') AS targets FROM classified GROUP BY ALL),
     factors AS (
       SELECT job_id, stage_id, 'partial_support_stage' AS factor, -0.08::DECIMAL(8,2) AS impact,
-             'Stage ''' || stage_id || ''' type ''' || stage_type || ''' has partial migration support' AS reason FROM supported WHERE support = 'partial'
-      UNION ALL SELECT job_id, stage_id, 'complex_stage', -0.20, 'Stage ''' || stage_id || ''' type ''' || stage_type || ''' requires custom implementation'
+             stage_id || ' (' || stage_type || '): converts in part' AS reason FROM supported WHERE support = 'partial'
+      UNION ALL SELECT job_id, stage_id, 'complex_stage', -0.20, stage_id || ' (' || stage_type || '): to be written by hand'
         FROM supported WHERE support = 'complex'
-      UNION ALL SELECT job_id, stage_id, 'unknown_stage', -0.15, 'Unknown stage type ''' || stage_type || ''' in ''' || stage_id || ''' - manual review needed'
+      UNION ALL SELECT job_id, stage_id, 'unknown_stage', -0.15, stage_id || ' (' || stage_type || '): type outside the vocabulary'
         FROM supported WHERE support = 'unknown'
-      UNION ALL SELECT job_id, stage_id, 'hint_' || hint, -weight, 'Complexity hint: ' || hint || ' in stage ''' || stage_id || '''' FROM hints
-      UNION ALL SELECT job_id, stage_id, 'complex_transformer', -0.10, 'Stage ''' || stage_id || ''' has ' || n || ' transformations' FROM per_stage WHERE n > 8
-      UNION ALL SELECT job_id, NULL, 'high_stage_count', -least(0.15, (n - 15) * 0.01), 'Job has ' || n || ' stages (large jobs are harder to verify)' FROM sizes WHERE n > 15
-      UNION ALL SELECT job_id, NULL, 'small_stage_count', 0.05, 'Small job with ' || n || ' stages — easy to review' FROM sizes WHERE n <= 5
-      UNION ALL SELECT job_id, NULL, 'multi_output_stages', -branching * 0.05, branching || ' stage(s) with multiple outputs (branching DAG)' FROM sizes WHERE branching > 0
-      UNION ALL SELECT job_id, NULL, 'multi_source', -0.05, 'Job reads from ' || sources || ' sources' FROM sizes WHERE sources >= 3
-      UNION ALL SELECT job_id, NULL, 'multi_target', -0.05, 'Job writes to ' || targets || ' targets' FROM sizes WHERE targets >= 2)"""
+      UNION ALL SELECT job_id, stage_id, 'hint_' || hint, -weight, stage_id || ': pattern ' || hint FROM hints
+      UNION ALL SELECT job_id, stage_id, 'complex_transformer', -0.10, stage_id || ': ' || n || ' derivations in one stage' FROM per_stage WHERE n > 8
+      UNION ALL SELECT job_id, NULL, 'high_stage_count', -least(0.15, (n - 15) * 0.01), n || ' stages, over the large-job mark' FROM sizes WHERE n > 15
+      UNION ALL SELECT job_id, NULL, 'small_stage_count', 0.05, n || ' stages, within the small-job mark' FROM sizes WHERE n <= 5
+      UNION ALL SELECT job_id, NULL, 'multi_output_stages', -branching * 0.05, branching || ' stages feed more than one link' FROM sizes WHERE branching > 0
+      UNION ALL SELECT job_id, NULL, 'multi_source', -0.05, sources || ' inputs' FROM sizes WHERE sources >= 3
+      UNION ALL SELECT job_id, NULL, 'multi_target', -0.05, targets || ' outputs' FROM sizes WHERE targets >= 2)"""
 
 SCORES_SQL = FACTORS_SQL + """,
     scores AS (SELECT job_id, score, CASE WHEN score >= 0.75 THEN 'simple' WHEN score >= 0.45 THEN 'medium' ELSE 'complex' END AS complexity,
@@ -75,21 +75,21 @@ def score_complexity(t: Tables):
 
 
 NOTES_SQL = SCORES_SQL + """
-    SELECT job_id, stage_id, 'flag' AS kind, 'Complex stage: ' || stage_type || ' in ' || stage_id AS text FROM supported WHERE support = 'complex'
-    UNION ALL SELECT job_id, stage_id, 'flag', 'Unknown stage type: ' || stage_type FROM supported WHERE support = 'unknown'
-    UNION ALL SELECT job_id, stage_id, 'recommendation', 'Manually review stage ''' || stage_id || ''' of type ''' || stage_type || '''' FROM supported WHERE support = 'unknown'
-    UNION ALL SELECT job_id, stage_id, 'flag', 'SCD Type 2 logic detected — requires MERGE/UPSERT pattern' FROM hints WHERE hint = 'scd_type2'
-    UNION ALL SELECT job_id, stage_id, 'recommendation', 'Review SCD Type 2 logic and validate MERGE statement output' FROM hints WHERE hint = 'scd_type2'
-    UNION ALL SELECT job_id, stage_id, 'flag', 'CDC or MERGE stage detected — complex state management required' FROM hints WHERE hint = 'cdc_or_merge'
-    UNION ALL SELECT job_id, stage_id, 'recommendation', 'Implement change data capture using Spark Structured Streaming or BQ MERGE' FROM hints WHERE hint = 'cdc_or_merge'
-    UNION ALL SELECT job_id, stage_id, 'flag', 'Lookup join detected — review join key and no-match handling' FROM hints WHERE hint = 'lookup_join'
-    UNION ALL SELECT job_id, stage_id, 'flag', 'Complex transformer: ' || stage_id || ' (' || n || ' expressions)' FROM per_stage WHERE n > 8
-    UNION ALL SELECT job_id, NULL, 'recommendation', 'Fully automated migration recommended' FROM scores WHERE complexity = 'simple'
-    UNION ALL SELECT job_id, NULL, 'recommendation', 'Review flagged sections before deployment' FROM scores WHERE complexity = 'medium'
-    UNION ALL SELECT job_id, NULL, 'recommendation', 'Run validation suite against sample data' FROM scores WHERE complexity = 'medium'
-    UNION ALL SELECT job_id, NULL, 'recommendation', 'Full human review required before deployment' FROM scores WHERE complexity = 'complex'
-    UNION ALL SELECT job_id, NULL, 'recommendation', 'Consider breaking this job into smaller migration units' FROM scores WHERE complexity = 'complex'
-    UNION ALL SELECT job_id, NULL, 'recommendation', 'Validate all SCD/CDC logic manually' FROM scores WHERE complexity = 'complex'"""
+    SELECT job_id, stage_id, 'flag' AS kind, 'write_by_hand: ' || stage_id || ' as ' || stage_type AS text FROM supported WHERE support = 'complex'
+    UNION ALL SELECT job_id, stage_id, 'flag', 'unlisted_type: ' || stage_type FROM supported WHERE support = 'unknown'
+    UNION ALL SELECT job_id, stage_id, 'recommendation', 'read_stage: look at ' || stage_id || ' (' || stage_type || ') in person' FROM supported WHERE support = 'unknown'
+    UNION ALL SELECT job_id, stage_id, 'flag', 'history_kept: the target keeps versions, so the load has to merge' FROM hints WHERE hint = 'scd_type2'
+    UNION ALL SELECT job_id, stage_id, 'recommendation', 'check_history: compare the merged versions with the old job''s' FROM hints WHERE hint = 'scd_type2'
+    UNION ALL SELECT job_id, stage_id, 'flag', 'changes_applied: the job compares or merges images of a table' FROM hints WHERE hint = 'cdc_or_merge'
+    UNION ALL SELECT job_id, stage_id, 'recommendation', 'build_changes: use the change-capture and merge stages' FROM hints WHERE hint = 'cdc_or_merge'
+    UNION ALL SELECT job_id, stage_id, 'flag', 'lookup_used: look at its key and at rows without a match' FROM hints WHERE hint = 'lookup_join'
+    UNION ALL SELECT job_id, stage_id, 'flag', 'long_transformer: ' || stage_id || ', ' || n || ' derivations' FROM per_stage WHERE n > 8
+    UNION ALL SELECT job_id, NULL, 'recommendation', 'no_review: convert as it is' FROM scores WHERE complexity = 'simple'
+    UNION ALL SELECT job_id, NULL, 'recommendation', 'read_flags: look at what is flagged first' FROM scores WHERE complexity = 'medium'
+    UNION ALL SELECT job_id, NULL, 'recommendation', 'run_checks: run the checks on sample rows' FROM scores WHERE complexity = 'medium'
+    UNION ALL SELECT job_id, NULL, 'recommendation', 'read_all: a person reads the whole job first' FROM scores WHERE complexity = 'complex'
+    UNION ALL SELECT job_id, NULL, 'recommendation', 'split_job: convert it in parts' FROM scores WHERE complexity = 'complex'
+    UNION ALL SELECT job_id, NULL, 'recommendation', 'check_state: test histories and changes by hand' FROM scores WHERE complexity = 'complex'"""
 
 
 @query("score_recommendations", NOTES_SQL)
@@ -138,19 +138,19 @@ CHECKS_SQL = ORPHANS_SQL + r""",
     params AS (SELECT job_id, count(DISTINCT name) AS n FROM (SELECT job_id, unnest(regexp_extract_all(concat_ws(' ', p_sql, p_file), '\$\{([^}]+)\}', 1)) AS name FROM stages) GROUP BY ALL),
     checks AS (
       SELECT job_id, 'schema_coverage' AS name, CASE WHEN cov = 1 THEN 'pass' WHEN cov >= 0.5 THEN 'warn' ELSE 'fail' END AS status, round(cov, 3) AS score,
-             covered || '/' || total || ' source stages have column definitions' AS detail
+             covered || ' of ' || total || ' sources declare columns' AS detail
         FROM (SELECT *, CASE WHEN total > 0 THEN covered / total ELSE 1.0::DOUBLE END AS cov FROM schema_cov)
       UNION ALL SELECT job_id, 'stage_coverage', CASE WHEN unknown = 0 THEN 'pass' WHEN unknown <= 1 THEN 'warn' ELSE 'fail' END, round((total - unknown) / total, 3),
-             (total - unknown) || '/' || total || ' stages have known category. Unknown: ' || unknown FROM stage_cov
+             (total - unknown) || ' of ' || total || ' stage types known, ' || unknown || ' not' FROM stage_cov
       UNION ALL SELECT j.job_id, 'dag_completeness', CASE WHEN coalesce(n, 0) = 0 THEN 'pass' ELSE 'warn' END, CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE 0.7 END,
-             CASE WHEN coalesce(n, 0) = 0 THEN 'All stages are connected' ELSE 'Orphan stages (not in any link): ' || n END
+             CASE WHEN coalesce(n, 0) = 0 THEN 'no loose stage' ELSE n || ' loose stages' END
         FROM all_jobs j LEFT JOIN (SELECT job_id, count(*) AS n FROM orphans GROUP BY ALL) o ON o.job_id = j.job_id
       UNION ALL SELECT job_id, 'expression_coverage', CASE WHEN cov = 1 AND {res} = 0 THEN 'pass' WHEN cov < 0.5 THEN 'fail' ELSE 'warn' END, round(cov, 3),
-             covered || '/' || total || ' transformers with expressions'
+             covered || ' of ' || total || ' transformers derive columns'
         FROM (SELECT *, CASE WHEN total > 0 THEN covered / total ELSE 1.0::DOUBLE END AS cov FROM expr_cov)
       UNION ALL SELECT job_id, 'output_completeness', CASE n WHEN 2 THEN 'pass' WHEN 1 THEN 'warn' ELSE 'fail' END, n / 2, n || ' of 2 code outputs' FROM outs
-      UNION ALL SELECT j.job_id, 'parameter_coverage', 'pass', 1.0, CASE WHEN n IS NULL THEN 'No parameters detected'
-             ELSE n || ' parameter(s) detected and converted to environment variables' END FROM all_jobs j LEFT JOIN params p ON p.job_id = j.job_id)"""
+      UNION ALL SELECT j.job_id, 'parameter_coverage', 'pass', 1.0, CASE WHEN n IS NULL THEN 'no parameters'
+             ELSE n || ' parameters, set outside the job' END FROM all_jobs j LEFT JOIN params p ON p.job_id = j.job_id)"""
 
 # Checked as written (raw) and after translation, where no legacy call is left.
 RAW_CHECKS_SQL = CHECKS_SQL.replace("{res}", "res")

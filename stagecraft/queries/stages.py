@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stagecraft.functions import maths, nulls, strings
 from stagecraft.operators import aggregate as agg, joins, project
-from stagecraft.operators.cells import quantile_cells
 from stagecraft.plans import customer_sales
 from stagecraft.queries.registry import Tables, query
 
@@ -22,7 +21,7 @@ def money(name: str) -> Column:
 def customers(t: Tables) -> DataFrame:
     """The CUSTOMERS source: customer with its region's name."""
     geo = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey")).select("n_nationkey", "r_name")
-    return t.customer.join(joins.sized(geo), c("c_nationkey") == c("n_nationkey")).select(
+    return t.customer.join(geo, c("c_nationkey") == c("n_nationkey")).select(
         c("c_custkey").alias("CUST_ID"), c("c_name").alias("CUST_NAME"), c("r_name").alias("REGION"),
         c("c_mktsegment").alias("SEGMENT"),
     )
@@ -181,22 +180,26 @@ def active_customers(t: Tables) -> DataFrame:
     )
 
 
-def order_rows(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderstatus <> 'P'").select(
+def order_rows(t: Tables, settled: bool = False) -> DataFrame:
+    """Orders; only the settled ones where a query needs customers without any order."""
+    return (t.orders.where("o_orderstatus <> 'P'") if settled else t.orders).select(
         c("o_custkey").alias("custkey"), c("o_orderkey").alias("orderkey"), c("o_totalprice").alias("price")
     )
 
 
+SETTLED = " WHERE o_orderstatus <> 'P'"
 JOIN_SQL = """
-    WITH l AS (SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice AS price FROM orders WHERE o_orderstatus <> 'P'),
+    WITH l AS (SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice AS price FROM orders{settled}),
          r AS (SELECT c_custkey AS custkey, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_acctbal > 2000)
     SELECT custkey, orderkey, price, name, segment FROM l {how} JOIN r USING (custkey)"""
 
 
 def _join(name: str, how: str, sql_how: str) -> None:
-    @query(name, JOIN_SQL.format(how=sql_how))
+    settled = how in ("RightOuter", "FullOuter")
+
+    @query(name, JOIN_SQL.format(how=sql_how, settled=SETTLED if settled else ""))
     def run(t: Tables):
-        return joins.join_stage(order_rows(t), active_customers(t), ["custkey"], how)
+        return joins.join_stage(order_rows(t, settled), active_customers(t), ["custkey"], how)
 
 
 _join("join_inner", "Inner", "INNER")
@@ -211,15 +214,15 @@ _join("join_unknown_type", "NoSuchJoin", "INNER")
     GROUP BY ALL""")
 def join_cross(t: Tables):
     geo = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey")).select("r_name", "n_name")
-    return joins.cross_bounded(t.orders.select("o_orderpriority"), geo).groupBy(
+    return joins.cross(t.orders.select("o_orderpriority"), geo).groupBy(
         "r_name", "n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("join_left_with_reject", """
     SELECT 'main' AS branch, o_orderkey AS orderkey, c_name AS name, NULL AS reason
-    FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' AND c_acctbal > 2000
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 2000
     UNION ALL SELECT 'reject', o_orderkey, NULL, 'No match on custkey' FROM orders
-    WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000)""")
+    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000)""")
 def join_left_with_reject(t: Tables):
     out = joins.join_with_reject(order_rows(t), active_customers(t), ["custkey"])
     none = F.lit(None).cast("string")
@@ -288,8 +291,8 @@ def lookup_fail(t: Tables):
     SELECT brand, type, count(*) AS lines, CAST(sum(CAST(quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
     FROM l JOIN r USING (partkey) GROUP BY ALL""")
 def lookup_threshold(t: Tables):
-    """A bound below the reference's size: the sort-merge way."""
-    main = joins.lookup(item_lines(t), items(t), ["partkey"], "Drop", threshold=10).main
+    """A reference the caller knows to be too large for a broadcast: the sort-merge way."""
+    main = joins.lookup(item_lines(t), items(t), ["partkey"], "Drop", how="merge").main
     return main.groupBy("brand", "type").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(money("quantity")).cast("double").alias("quantity"))
 
@@ -305,7 +308,7 @@ def lookup_dedup_reference(t: Tables):
         ["partkey"], [c("l_shipdate"), c("l_orderkey"), c("l_linenumber"), c("first_supplier")],
     ).select("partkey", "first_supplier")
     parts = t.part.select(c("p_partkey").alias("partkey"), c("p_brand").alias("brand"))
-    return joins.lookup(parts, ref, ["partkey"], "Continue", hint=False).main
+    return joins.lookup(parts, ref, ["partkey"], "Continue").main
 
 
 # --- aggregation -----------------------------------------------------------------------------

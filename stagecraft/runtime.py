@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,10 +48,13 @@ def local_session(app: str = "stagecraft", cores: str = "8", shuffle_partitions:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a session that names none (tests, a laptop) gets a fresh temporary folder.
+    Only a local session that names none (tests, a laptop) gets a fresh temporary folder: on a cluster
+    each executor would write to a disk of its own, and rows would be missing without an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
+    if named is None and current is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if current is None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="stagecraft-"))
         current = spark.sparkContext.getCheckpointDir()

@@ -74,12 +74,12 @@ def declared_schema(columns: list[dict]) -> T.StructType:
 
 
 def apply_declared(df: DataFrame, columns: list[dict]) -> Branches:
-    """Cast text columns to their declared types; misfits go to the reject output."""
+    """Cast text columns to their declared types; misfits, and NULLs in NOT NULL columns, go to the reject output."""
     declared = [
         (c["name"], spark_type(c.get("sql_type_code", "12"), c.get("precision"), c.get("scale")))
         for c in columns
     ]
-    return typed_cast(df, declared)
+    return typed_cast(df, declared, [c["name"] for c in columns if not c.get("nullable", True)])
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str = ",",
@@ -93,8 +93,9 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, d
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    # Always true, but keeps a data column in the scan: Spark refuses to read the corrupt one alone.
-    read = F.coalesce(F.length(F.col(schema.fieldNames()[0]).cast("string")), F.lit(0)) >= 0
+    # Spark converts only the columns it has to read, and only those can be found malformed.  The second
+    # condition is always true and keeps every column in the scan, whatever is selected later.
+    read = F.length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in schema.fieldNames()])) >= 0
     bad = F.col(CORRUPT).isNotNull() & read
     main = raw.where(~bad).drop(CORRUPT)
     reject = raw.where(bad).withColumn("_reject_reason", F.lit("malformed line"))
@@ -102,9 +103,14 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, d
 
 
 def read_source(spark: SparkSession, stage: dict, params: Mapping[str, object] | None = None) -> DataFrame:
-    """Read a source stage.
+    """The rows of a source stage.  What a delimited file rejects is in ``read_source_with_reject``."""
+    return read_source_with_reject(spark, stage, params).main
 
-    ``stage``: ``stage_type``, ``properties`` (as exported), optional ``schema``, and for database
+
+def read_source_with_reject(spark: SparkSession, stage: dict, params: Mapping[str, object] | None = None) -> Branches:
+    """Read a source stage: its rows, and the lines of a delimited file that do not fit its schema.
+
+    Sources of other kinds have no second output and give an empty one.  ``stage``: ``stage_type``, ``properties`` (as exported), optional ``schema``, and for database
     sources ``url`` and optional ``partition`` (column, lower, upper, count).
     """
     kind = connector_options(stage["stage_type"])
@@ -114,7 +120,13 @@ def read_source(spark: SparkSession, stage: dict, params: Mapping[str, object] |
         return read_delimited(
             spark, props.get("File") or props["FileName"], stage["schema"],
             props.get("Delimiter", ","), str(props.get("FirstLineIsHeader", "true")).lower() == "true",
-        ).main
+        )
+    rows = _read_typed(spark, kind, fmt, stage, props)
+    return Branches(rows, rows.where(F.lit(False)).withColumn("_reject_reason", F.lit("")))
+
+
+def _read_typed(spark: SparkSession, kind: dict, fmt: str, stage: dict, props: Mapping[str, str]) -> DataFrame:
+    """Sources that bring their own types."""
     if fmt == "parquet":
         path = props.get("File") or props["FileName"]
         return spark.read.parquet(path if "://" in path or path.startswith("/") else kind["url_prefix"] + path)

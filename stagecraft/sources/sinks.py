@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stagecraft.operators.changes import merge_upsert
-from stagecraft.runtime import fresh_path
 from stagecraft.sources.connectors import connector_options, resolve
 
 # Declared write mode -> Spark mode.
@@ -20,10 +20,10 @@ def write_mode(name: str | None) -> str:
 
 
 def write_path(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet",
-               partition_by: list[str] | None = None) -> None:
+               partition_by: list[str] | None = None, delimiter: str = ",", header: bool = True) -> None:
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", header).option("sep", delimiter)
     if partition_by:
         # Only the partitions present in the data are replaced.
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
@@ -36,17 +36,22 @@ def merge_write(spark: SparkSession, target: str, updates: DataFrame, keys: list
 
     Readers of the old path are never disturbed, and a lost write leaves it untouched.
     """
-    out = out or fresh_path(spark, "merged")
+    out = out or _beside(target)
     merge_upsert(spark.read.parquet(target), updates, keys).write.mode("errorifexists").parquet(out)
     return out
 
 
+def _beside(path: str) -> str:
+    """A new folder next to a path, in the same store."""
+    return f"{path.rstrip('/')}-merged-{uuid.uuid4().hex}"
+
+
 def merge_table(spark: SparkSession, name: str, updates: DataFrame, keys: list[str],
                 row_level: bool = False) -> None:
     """Upsert into a catalog table.
 
     ``row_level``: the table's format has MERGE (Spark's ``mergeInto``).  Otherwise the merged image
-    is written beside the table and the table's location is switched to it.
+    is written beside the table, into its own store, and the table's location is switched to it.
     """
     if row_level:
         on = None
@@ -55,7 +60,8 @@ def merge_table(spark: SparkSession, name: str, updates: DataFrame, keys: list[s
             on = same if on is None else on & same
         updates.alias("source").mergeInto(name, on).whenMatched().updateAll().whenNotMatched().insertAll().merge()
         return
-    out = fresh_path(spark, "merged")
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'")
+    out = _beside(described.first()["data_type"])
     merge_upsert(spark.table(name), updates, keys).write.parquet(out)
     spark.sql(f"ALTER TABLE {name} SET LOCATION '{out}'")
     spark.catalog.refreshTable(name)
@@ -79,17 +85,16 @@ def write_sink(df: DataFrame, stage: dict, params: Mapping[str, object] | None =
         fmt = "csv" if connector_options(stage["stage_type"])["format"] == "csv" else "parquet"
         if mode == "merge":
             return merge_write(spark, path, df, stage["merge_keys"])
-        write_path(df, path, mode, fmt, stage.get("partition_by"))
+        write_path(df, path, mode, fmt, stage.get("partition_by"), props.get("Delimiter", ","),
+                   str(props.get("FirstLineIsHeader", "true")).lower() == "true")
         return path
     name = props.get("XMLProperties.TableName") or props["TableName"]
     if str(props.get("XMLProperties.CreateTableIfNotExists", "false")).lower() == "true":
         create_if_missing(df, name)
     if mode == "merge":
         merge_table(spark, name, df, stage["merge_keys"])
-    elif mode == "overwrite":
-        df.write.mode("overwrite").insertInto(name, overwrite=True)
-    else:
-        df.select(*spark.table(name).columns).write.insertInto(name)
+    else:  # insertInto goes by position
+        df.select(*spark.table(name).columns).write.insertInto(name, overwrite=mode == "overwrite")
     return None
 
 

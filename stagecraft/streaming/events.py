@@ -26,12 +26,17 @@ TERMINAL = ("done", "error")
 WATERMARK = "10 minutes"
 
 
-def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """A folder of parquet files as a stream; the batch size bounds what one trigger holds."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """A table's own path, a file or a folder of part files, as a stream; the batch size bounds one trigger.
+
+    A stream source is a folder, so a single file is its folder with the file's name as the filter.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
 
 
 def _seconds(ts: Column) -> Column:
@@ -70,14 +75,20 @@ DURATION_SCHEMA = (
 )
 
 
+IDLE_MS = 7 * 24 * 3600 * 1000  # a stage without events for so long is closed and its state removed
+
+
 def _update_duration(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds one trigger's events of one (job, stage) into (status, start, end, begin, took).
+    """Folds one trigger's events of one (job, stage).
 
-    Works chunk by chunk; of the events seen it holds only the starts after the last end.  Events
-    of one (job, stage) are in order from one trigger to the next.
+    An end may arrive after later starts, so the starts a late end can still follow are kept: those the
+    watermark has not passed, and the newest before it.  Event time closes the state.
     """
-    status, at, start, end, begin = state.get if state.exists else (None, -1, None, None, None)
-    open_starts = np.array([] if start is None or (end is not None and start <= end) else [start], dtype=np.int64)
+    if state.hasTimedOut:
+        state.remove()
+        return
+    status, at, start, end, begin, starts = state.get if state.exists else (None, -1, None, None, None, [])
+    opened = np.array(starts, dtype=np.int64)
     for pdf in batches:
         t, kind = pdf["micros"].to_numpy(), pdf["status"].to_numpy()
         newest = int(t.argmax())
@@ -88,13 +99,17 @@ def _update_duration(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
             start = int(active.max()) if start is None else max(start, int(active.max()))
         if ended.size:
             end = int(ended.max()) if end is None else max(end, int(ended.max()))
-        open_starts = np.concatenate([open_starts, active])
-        if end is not None:
-            before = open_starts[open_starts <= end]
-            if before.size:
-                begin = int(before.max()) if begin is None else max(begin, int(before.max()))
-            open_starts = open_starts[open_starts > end]
-    state.update((status, at, start, end, begin))
+        opened = np.unique(np.concatenate([opened, active]))
+    if end is not None:
+        before = opened[opened <= end]
+        if before.size:
+            begin = int(before.max()) if begin is None else max(begin, int(before.max()))
+        opened = opened[opened > end]
+    passed = opened[opened < state.getCurrentWatermarkMs() * 1000]
+    if passed.size > 1:
+        opened = opened[opened >= passed[-1]]
+    state.update((status, at, start, end, begin, opened.tolist()))
+    state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs()) + IDLE_MS)
 
     def stamp(v):
         return pd.NaT if v is None else pd.Timestamp(v, unit="us", tz="UTC")
@@ -106,15 +121,15 @@ def _update_duration(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
     })
 
 
-def stage_durations_stream(events: DataFrame) -> DataFrame:
-    """Stream: the same per (job, stage), kept in keyed state of five numbers."""
-    marks = events.where("event = 'stage'").select(
-        "job_id", "stage_id", "status", F.unix_micros("ts").alias("micros")
+def stage_durations_stream(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    """Stream: the same per (job, stage); an end may come up to ``delay`` after later starts."""
+    marks = events.where("event = 'stage'").withWatermark("ts", delay).select(
+        "job_id", "stage_id", "status", "ts", F.unix_micros("ts").alias("micros")
     )
     return marks.groupBy("job_id", "stage_id").applyInPandasWithState(
         _update_duration, DURATION_SCHEMA,
-        "status string, at bigint, start bigint, end bigint, begin bigint",
-        "update", GroupStateTimeout.NoTimeout,
+        "status string, at bigint, start bigint, end bigint, begin bigint, starts array<bigint>",
+        "update", GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -85,8 +85,8 @@ def test_sample_factors(scored):
 def test_flags_and_escalation(cat, scored):
     notes = scoring.flags_and_recommendations(scored["factors"], scored["classified"], scored["scores"], cat["derivations"])
     texts = {r["text"] for r in notes.where("job_id = 'COMPLEX_JOB'").collect()}
-    assert "Complex transformer: CALC (9 expressions)" in texts
-    assert "Validate all SCD/CDC logic manually" in texts
+    assert "long_transformer: CALC, 9 derivations" in texts
+    assert "check_state: test histories and changes by hand" in texts
     go, wait = scoring.escalate(scored["scores"])
     assert [r["job_id"] for r in go.collect()] == ["SIMPLE_JOB"]
     assert [r["suggested_action"] for r in wait.collect()] == ["human_review"]
@@ -220,10 +220,27 @@ def test_reach_on_a_loop_ends(spark):
     assert {r["stage_id"]: r["hops"] for r in got.collect()} == {"a": 0, "b": 1, "c": 2}
 
 
-def test_round_bound(spark):
-    stages, links = graph_of(spark, [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(6)])
-    with pytest.raises(RuntimeError):
-        graph.topological_levels(stages, links, max_rounds=3)
+def test_links_to_absent_stages_block_nobody(spark):
+    stages, links = graph_of(spark, [("a", "b")])
+    loose = spark.createDataFrame([(links.first()["job_id"], "ghost", "a"), (links.first()["job_id"], "b", "gone")],
+                                  "job_id string, from_stage string, to_stage string")
+    both = links.select("job_id", "from_stage", "to_stage").unionByName(loose.select(
+        F.col("job_id").cast(links.schema["job_id"].dataType).alias("job_id"), "from_stage", "to_stage"))
+    assert {r["stage_id"]: r["level"] for r in graph.topological_levels(stages, both).collect()} == {"a": 0, "b": 1}
+    assert graph.cyclic_stages(stages, both).count() == 0
+
+
+def test_lineage_of_a_cyclic_job_ends_and_the_others_stay(spark):
+    from stagecraft.catalog import lineage
+
+    nodes = [(j, s, "c", k) for j in ("good", "loop") for s, k in (("s", "SourceColumn"), ("m", "Intermediate"), ("n", "Intermediate"), ("t", "TargetColumn"))]
+    edges = [(j, a, "c", b, "c", "0.90") for j in ("good", "loop") for a, b in (("s", "m"), ("m", "n"), ("n", "t"))] + [("loop", "n", "c", "m", "c", "0.50")]
+    got = lineage.end_to_end(
+        spark.createDataFrame(nodes, "job_id string, stage_id string, column_name string, node_type string"),
+        spark.createDataFrame(edges, "job_id string, from_stage string, from_column string, stage_id string, column_name string, confidence string")
+        .withColumn("confidence", F.col("confidence").cast("decimal(4,2)"))).collect()
+    assert {r["job_id"]: (r["hops"], r["path"], float(r["confidence"])) for r in got} == {
+        "good": (3, "s/m/n/t", 0.9), "loop": (3, "s/m/n/t", 0.5)}
 
 
 # --- validation, gates, indicators ---------------------------------------------------------------

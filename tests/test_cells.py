@@ -38,9 +38,21 @@ def test_neighbours_equal_lead_and_lag(spark):
 
 
 def test_no_cell_holds_the_hot_key_whole(spark):
-    df = skewed(spark, 3000).withColumn("c", cells.quantile_cells(skewed(spark, 3000), "id", rows_per_cell=200))
-    sizes = [r["count"] for r in df.groupBy("k", "c").count().collect()]
-    assert max(sizes) <= 200
+    df = cells.range_cells(skewed(spark, 3000), [F.col("id")], rows_per_cell=200)
+    sizes = [r["count"] for r in df.groupBy("k", cells.RANGE).count().collect()]
+    assert max(sizes) <= 400
+
+
+def test_one_order_value_of_most_rows_is_cut_by_the_tiebreak(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(7).alias("t"), "id")
+    dealt = cells.range_cells(df, [F.col("t"), F.col("id")], rows_per_cell=250)
+    assert max(r["count"] for r in dealt.groupBy(cells.RANGE).count().collect()) <= 600
+
+
+def test_texts_with_one_stranger_are_cut(spark):
+    names = [(f"Customer#{i:09d}",) for i in range(2000)] + [("Zed",)]
+    dealt = cells.range_cells(spark.createDataFrame(names, "name string"), [F.col("name")], rows_per_cell=100)
+    assert max(r["count"] for r in dealt.groupBy(cells.RANGE).count().collect()) <= 300
 
 
 def test_surrogate_keys_are_dense_over_many_cells(spark):
@@ -52,21 +64,25 @@ def test_surrogate_keys_are_dense_over_many_cells(spark):
 def test_surrogate_keys_of_text_with_a_shared_prefix(spark):
     names = [f"Customer#{i:09d}" for i in range(300)]
     df = spark.createDataFrame([(n,) for n in names], "name string")
-    cell = cells.quantile_cells(df, "name", rows_per_cell=20)
-    assert df.select(cell.alias("c")).distinct().count() > 5
+    assert cells.range_cells(df, [F.col("name")], 20).select(cells.RANGE).distinct().count() > 5
     got = changes.surrogate_key(df, "name", rows_per_cell=20).orderBy("name").collect()
     assert [r["sk"] for r in got] == list(range(1, 301))
     assert [r["name"] for r in got] == names
 
 
-def test_order_codes_follow_the_order(spark):
-    df = spark.createDataFrame([("b",), ("a",), (None,), ("abc",), ("é",), ("",), ("abcdefghz",), ("abcdefgha",)], "s string")
-    got = df.select("s", cells.order_code(df, "s").alias("c")).orderBy("s").collect()
-    codes = [r["c"] for r in got if r["c"] is not None]
-    assert codes == sorted(codes)
+def test_positions_of_descending_keys(spark):
+    from stagecraft.operators import shape
+
+    df = spark.createDataFrame([(None if i % 7 == 0 else i // 3, i) for i in range(60)], "a int, id int")
+    for keys in ("a DESC", "a ASC", "a DESC NULLS FIRST", "a ASC NULLS LAST"):
+        got = shape.sort_positions(df, keys, "id", rows_per_cell=9).orderBy("position").collect()
+        want = df.orderBy(*shape.sort_expressions(keys), "id").collect()
+        assert [(r["position"], r["id"]) for r in got] == [(i + 1, r["id"]) for i, r in enumerate(want)]
 
 
 def test_new_keys_continue_after_the_dimension(spark, rows, collected):
     dim = rows([("a", 1), ("b", 2)], "bk string, sk bigint")
     got = changes.assign_surrogate_keys(dim, rows([("b",), ("d",), ("c",), ("d",)], "bk string"), "bk")
     assert collected(got.select("bk", "sk")) == [("c", 3), ("d", 4)]
+    more = changes.assign_surrogate_keys(dim, rows([("d", "y"), ("d", "x"), (None, "z")], "bk string, v string"), "bk")
+    assert collected(more) == [("d", "x", 4), (None, "z", 3)]

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from stagecraft.operators import changes, quality
@@ -99,3 +100,35 @@ def test_join_report_counts_fan_out_without_pairs(spark):
     left = spark.range(1000).select((F.col("id") % 2).alias("k"))
     right = spark.createDataFrame([(0,), (0,), (0,), (7,)], "k bigint")
     assert tuple(quality.join_report(left, right, ["k"]).first()) == (500, 500, 1, 1500, 3)
+
+
+def test_versions_are_compared_by_value_not_by_text(rows):
+    data = [(1, 1, None, "a|b", "c"), (1, 2, "", "a|b", "c"), (1, 3, "", "a", "b|c"), (1, 4, "", "a", "b|c")]
+    df = rows(data, "k int, t int, x string, y string, z string")
+    got = changes.collapse_unchanged(df, ["k"], ["t"], ["x", "y", "z"], cell=F.lit(0).cast("long"))
+    assert sorted(r["t"] for r in got.collect()) == [1, 2, 3]
+    one = changes.collapse_unchanged(rows([(1, 1, None), (1, 2, None)], "k int, t int, x string"), ["k"], ["t"], ["x"], cell=F.col("t").cast("long"))
+    assert [r["t"] for r in one.collect()] == [1]
+
+
+def test_null_keys_meet_and_columns_go_by_name(rows):
+    dim = rows([(None, "A", "B", "2024-01-01", "9999-12-31", 1), (1, "A", "B", "2024-01-01", "9999-12-31", 1)],
+               "k int, a string, b string, s string, e string, IS_CURRENT_FLAG int").select(
+        "k", "a", "b", F.col("s").cast("date").alias("EFF_START_DATE"), F.col("e").cast("date").alias("EFF_END_DATE"), "IS_CURRENT_FLAG")
+    snapshot = rows([("B", "A", None), ("B2", "A", 1)], "b string, a string, k int")
+    once = changes.scd2_merge(dim, snapshot, ["k"], ["b", "a"], "2024-06-30")
+    assert sorted((r["k"] or 0, r["a"], r["b"], r["IS_CURRENT_FLAG"]) for r in once.collect()) == [
+        (0, "A", "B", 1), (1, "A", "B", 0), (1, "A", "B2", 1)]
+    assert changes.scd2_merge(once, snapshot, ["k"], ["b", "a"], "2024-07-01").count() == 3
+    captured = changes.change_capture(dim.where("IS_CURRENT_FLAG = 1"), snapshot, ["k"], ["a", "b"])
+    assert sorted((r["k"] or 0, r["change"]) for r in captured.collect()) == [(0, "unchanged"), (1, "update")]
+    applied = changes.change_apply(dim.select("k", "a", "b"), captured, ["k"], ["a", "b"])
+    assert sorted((r["k"] or 0, r["b"]) for r in applied.collect()) == [(0, "B"), (1, "B2")]
+    merged = changes.merge_upsert(rows([(None, "x")], "k int, v string"), rows([(None, "y")], "k int, v string"), ["k"])
+    assert [tuple(r) for r in merged.collect()] == [(None, "y")]
+
+
+def test_two_updates_of_one_key_are_an_error(rows):
+    master, twice = rows([(1, "x")], "k int, v string"), rows([(1, "y"), (1, "z")], "k int, v string")
+    with pytest.raises(Exception, match="key occurs more than once: 1"):
+        changes.merge_upsert(master, twice, ["k"]).collect()

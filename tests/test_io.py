@@ -108,3 +108,74 @@ def test_ddl(spark):
     assert row["ddl"] == (
         "CREATE TABLE IF NOT EXISTS T (\n  A DECIMAL(10,2) NOT NULL COMMENT '',\n  B STRING COMMENT 'it''s',\n  PRIMARY KEY (A)\n);")
     assert "_reject_reason VARCHAR(1000),\n  _reject_date DATE\n" in row["reject_ddl"] and "T_reject" in row["reject_ddl"]
+
+
+def test_rows_do_not_depend_on_the_columns_read_later(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("id,cust,amount\n1,5,2.5\n2,bad,1.0\n3,7,3.5\n")
+    got = connectors.read_delimited(spark, str(tmp_path / "in.csv"), "id int, cust int, amount double")
+    assert got.main.count() == 2 and [r["id"] for r in got.main.select("id").collect()] == [1, 3]
+    assert got.reject.count() == 1 and got.reject.select("_reject_reason").count() == 1
+    stage = {"stage_type": "PxSequentialFile", "properties": {"File": str(tmp_path / "in.csv")}, "schema": "id int, cust int, amount double"}
+    both = connectors.read_source_with_reject(spark, stage)
+    assert (both.main.count(), both.reject.count()) == (2, 1)
+
+
+def test_null_in_a_required_column_is_rejected(rows):
+    df = rows([("1", "a"), (None, "b")], "id string, name string")
+    out = connectors.apply_declared(df, [{"name": "id", "sql_type_code": "4", "nullable": False}, {"name": "name"}])
+    assert [r["name"] for r in out.main.collect()] == ["a"]
+    assert [r["_reject_reason"] for r in out.reject.collect()] == ["bad value in id"]
+
+
+def test_delimited_sink_takes_its_properties(spark, rows, tmp_path):
+    df = rows([(1, "x"), (2, "y")], "id int, name string")
+    stage = {"stage_type": "PxSequentialFile", "properties": {"File": str(tmp_path / "out"), "Delimiter": "|", "FirstLineIsHeader": "false"}}
+    sinks.write_sink(df.coalesce(1), stage)
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1|x", "2|y"]
+
+
+def test_overwrite_goes_by_column_name(spark, rows, tmp_path):
+    sinks.create_if_missing(rows([("a", "b")], "a string, b string"), "by_name", str(tmp_path / "by_name"))
+    stage = {"stage_type": "PxOracleConnector", "properties": {"TableName": "by_name", "WriteMode": "OVERWRITE"}}
+    sinks.write_sink(rows([("B", "A")], "b string, a string"), stage)
+    assert tuple(spark.table("by_name").first()) == ("A", "B")
+    spark.catalog.refreshTable("by_name")
+    sinks.merge_table(spark, "by_name", rows([("A", "B2")], "a string, b string"), ["a"])
+    assert tuple(spark.table("by_name").first()) == ("A", "B2")
+    where = spark.sql("DESCRIBE TABLE EXTENDED by_name").where("col_name = 'Location'").first()["data_type"]
+    assert str(tmp_path) in where
+    spark.sql("DROP TABLE by_name")
+
+
+def test_broken_silent_and_unnamed_exports(spark, tmp_path):
+    from stagecraft.sources import jobxml
+
+    record = '<Record Identifier="S1" Type="PxOracleConnector"><Property name="OutputPins">1</Property></Record>'
+    (tmp_path / "good.dsx").write_text(f'<DSExport><Job Identifier="J1">{record}</Job></DSExport>')
+    (tmp_path / "no name.dsx").write_text(f"<DSExport><Job>{record}</Job></DSExport>")
+    (tmp_path / "cut.dsx").write_text('<DSExport><Job Identifier="J2"><Record Identifier="S1" Type=')
+    (tmp_path / "empty.dsx").write_text("<DSExport></DSExport>")
+    both = jobxml.read_exports(spark, str(tmp_path))
+    assert sorted(r["job_id"] for r in jobxml.jobs(both.main).collect()) == ["J1", "no name"]
+    assert sorted(r["job_id"] for r in jobxml.catalog(jobxml.read_jobs(spark, str(tmp_path)))["stages"].collect()) == ["J1", "no name"]
+    rejected = {r["file_path"].rsplit("/", 1)[1] for r in both.reject.collect()}
+    assert rejected == {"cut.dsx", "empty.dsx"}
+
+
+def test_a_job_in_several_elements_is_one_job(spark, tmp_path):
+    from stagecraft.sources import jobxml
+
+    (tmp_path / "a.dsx").write_text('<DSExport><Job Identifier="J" Category="c"/><Job Identifier="J" Description="d"/></DSExport>')
+    got = jobxml.jobs(jobxml.read_jobs(spark, str(tmp_path))).collect()
+    assert [(r["job_id"], r["description"], r["category"]) for r in got] == [("J", "d", "c")]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from stagecraft.runtime import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)

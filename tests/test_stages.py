@@ -72,10 +72,8 @@ def test_join_with_reject(rows, collected):
     assert collected(out.reject) == [(1, "a", "No match on k"), (None, "n", "No match on k")]
 
 
-def test_cross_needs_a_small_side(rows):
-    with pytest.raises(ValueError):
-        joins.cross_bounded(rows(*LEFT), rows(*RIGHT), max_rows=2)
-    assert joins.cross_bounded(rows(*LEFT), rows(*RIGHT).drop("k")).count() == 9
+def test_cross(rows):
+    assert joins.cross(rows(*LEFT), rows(*RIGHT).drop("k")).count() == 9
 
 
 def test_lookup_modes(rows, collected):
@@ -89,14 +87,14 @@ def test_lookup_modes(rows, collected):
         joins.lookup(df, ref, ["k"], "Guess")
 
 
-def test_lookup_over_the_threshold_merges(spark, rows):
+def test_lookup_takes_a_join_hint(spark, rows):
     df, ref = rows([(1, "a")], "k int, l string"), rows([(1, "x"), (2, "y")], "k int, r string")
 
-    def plan(threshold):
-        return joins.lookup(df, ref, ["k"], threshold=threshold).main._jdf.queryExecution().executedPlan().toString()
+    def plan(how):
+        return joins.lookup(df, ref, ["k"], how=how).main._jdf.queryExecution().executedPlan().toString()
 
-    assert "BroadcastHashJoin" in plan(10)
-    assert "SortMergeJoin" in plan(1)
+    assert "BroadcastHashJoin" in plan("broadcast")
+    assert "SortMergeJoin" in plan("merge")
 
 
 def test_one_per_key(rows, collected):

@@ -23,7 +23,7 @@ def arriving(spark, tmp_path):
         batches = [spark.createDataFrame(f, SCHEMA).coalesce(1) for f in files]
         for b in batches:
             b.write.mode("append").parquet(path)
-        return ev.read_stream(spark, path, "*.parquet", batches[0].schema, 1), spark.read.parquet(path)
+        return ev.read_stream(spark, path, batches[0].schema, 1), spark.read.parquet(path)
     return build
 
 
@@ -45,6 +45,23 @@ def test_stage_durations(arriving):
     assert got == want
 
 
+def test_an_end_that_comes_after_later_starts(arriving):
+    stream, batch = arriving(
+        [event(1, 5, kind="stage", stage="A", status="active"), event(2, 20, kind="stage", stage="A", status="active")],
+        [event(3, 10, kind="stage", stage="A", status="done")])
+    assert ev.stage_durations(batch).first()["duration"] == 5.0
+    out = drain.drain_updates(ev.stage_durations_stream(stream), ["job_id", "stage_id"])
+    assert [(r["duration"], r["started_at"]) for r in out.collect()] == [(5.0, ev.stage_durations(batch).first()["started_at"])]
+
+
+def test_a_file_and_a_folder_are_read_alike(spark, tmp_path):
+    rows = spark.createDataFrame([event(i, i, level="info") for i in range(50)], SCHEMA)
+    for name, parts in (("one", 1), ("many", 5)):
+        rows.repartition(parts).write.parquet(str(tmp_path / name / "events.parquet"))
+        out = drain.drain_updates(ev.job_state(ev.read_stream(spark, str(tmp_path / name / "events.parquet"), rows.schema)), ["job_id"])
+        assert out.agg(F.sum("logs")).first()[0] == 50
+
+
 def test_job_state(arriving, collected):
     stream, batch = arriving(
         [event(1, 0, kind="human_review"), event(2, 1, kind="stage", stage="A", status="active")],
