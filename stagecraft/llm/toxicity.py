@@ -58,7 +58,7 @@ class Grammar:
     """The composed transducer.  ``lexicon`` maps terms to weights; ``curve`` is the fitted logistic curve."""
 
     lexicon: dict[str, float] = field(default_factory=dict)
-    curve: tuple[float, ...] = (-2.0, 1.0, 0.0)
+    curve: tuple[float, ...] = (-2.0, 1.0, 0.0, 0.0)
 
     def marker(self) -> Memo:
         return Memo(self.mark, 200_000)
@@ -102,17 +102,17 @@ class Grammar:
                 insults, threat, target, report, negated = 0.0, False, False, False, 0
         return out
 
-    def features(self, text: str, marker: Memo) -> tuple[float, float]:
-        """Sum and maximum of the clause weights, both on a logarithmic scale."""
+    def features(self, text: str, marker: Memo) -> tuple[float, float, float]:
+        """Sum, maximum and number of the matched clauses' weights, each on a logarithmic scale."""
         marks = list(map(marker.__getitem__, text.split()))
         if all(type(m) is int or m[0] in ("target", "negation", "report") for m in set(marks)):
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         found = self.clauses(marks)
-        return float(np.log1p(sum(found))), float(np.log1p(max(found, default=0.0)))
+        return float(np.log1p(sum(found))), float(np.log1p(max(found, default=0.0))), float(np.log1p(len(found)))
 
     def score(self, text: str, marker: Memo) -> float:
-        total, most = self.features(text, marker)
-        return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * total + self.curve[2] * most))))
+        level = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], self.features(text, marker)))
+        return float(1 / (1 + np.exp(-level)))
 
 
 def learned(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, at_least: float = 12.0) -> dict[str, float]:
@@ -192,11 +192,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", r
 
         def step(batch):
             found = [crossed[f].features(t, markers[f]) for t, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield {"total": [a for a, _ in found], "most": [b for _, b in found], "toxic": batch.column(2)}
+            yield {**{k: [x[i] for x in found] for i, k in enumerate(("total", "most", "clauses"))}, "toxic": batch.column(2)}
         return step
 
-    seen = map_arrow(sample.select("text", "fold", "toxic"), make_features, "total double, most double, toxic boolean").toPandas()
-    whole.curve = fitted(seen[["total", "most"]].to_numpy(float), seen["toxic"].to_numpy(float))
+    seen = map_arrow(sample.select("text", "fold", "toxic"), make_features, "total double, most double, clauses double, toxic boolean").toPandas()
+    whole.curve = fitted(seen[["total", "most", "clauses"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return whole
 
 

@@ -7,7 +7,7 @@ from stagecraft.runtime import table
 
 @pytest.fixture
 def grammar():
-    return toxicity.Grammar({"idiot": 3.0, "lowei*": 2.0}, (-3.0, 2.0, 0.0))
+    return toxicity.Grammar({"idiot": 3.0, "lowei*": 2.0}, (-3.0, 2.0, 0.0, 0.0))
 
 
 def total(grammar, text):
