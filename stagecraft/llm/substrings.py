@@ -93,7 +93,8 @@ def document_runs(docs: DataFrame, text_col: str, length: int) -> DataFrame:
 
 def candidate_runs(runs: DataFrame) -> DataFrame:
     """(doc, runs): what each document has of runs whose minimizer stands at a second place, and whether at very many."""
-    places = runs.groupBy("minimizer").agg(F.count(F.lit(1)).alias("places")).where("places > 1")
+    # Stored, so that the join below has shuffles of its own on both sides, which Spark can split at a hot minimizer.
+    places = store(runs.groupBy("minimizer").agg(F.count(F.lit(1)).alias("places")).where("places > 1"), "places")
     return runs.join(places, "minimizer").groupBy("doc").agg(F.collect_set(
         F.struct("first", "last", "minimizer", (F.col("places") >= HOT).alias("hot"))).alias("runs"))
 
