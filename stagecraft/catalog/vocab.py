@@ -49,6 +49,24 @@ SQL_JOIN_TYPES = {
     "Inner": "INNER", "LeftOuter": "LEFT OUTER", "RightOuter": "RIGHT OUTER",
     "FullOuter": "FULL OUTER", "Cross": "CROSS", "Lookup": "LEFT OUTER",
 }
+# Declared write mode and aggregate name -> what a SQL target does.
+SQL_WRITE_MODES = {"APPEND": "INSERT", "OVERWRITE": "TRUNCATE_AND_INSERT", "MERGE": "UPSERT", "REPLACE": "TRUNCATE_AND_INSERT"}
+SQL_AGGREGATES = ("SUM", "COUNT", "AVG", "MAX", "MIN", "STDDEV", "VARIANCE")
+
+
+def sql_join_type(name: Column) -> Column:
+    """Unknown and absent names mean INNER."""
+    return mapped(name, SQL_JOIN_TYPES, "INNER")
+
+
+def sql_write_mode(name: Column) -> Column:
+    """Unknown and absent modes insert."""
+    return mapped(F.upper(name), SQL_WRITE_MODES, "INSERT")
+
+
+def sql_aggregate(name: Column) -> Column:
+    """The SQL function of an aggregate name; NULL where SQL has none of that name here."""
+    return F.when(F.upper(name).isin(*SQL_AGGREGATES), F.upper(name))
 
 
 def mapped(key: Column, mapping: dict[str, str], default: Column | str) -> Column:

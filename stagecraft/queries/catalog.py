@@ -111,6 +111,19 @@ def map_join_type(t: Tables):
     return rows.where("declared IS NOT NULL").withColumn("how", vocab.map_join_type(c("declared")))
 
 
+# The expected names are spelled out here, so a wrong entry in the vocabulary shows.
+@query("map_sql_names", CATALOG_SQL + """
+    SELECT job_id, stage_id,
+      CASE p_jtype WHEN 'LeftOuter' THEN 'LEFT OUTER' WHEN 'Lookup' THEN 'LEFT OUTER' WHEN 'RightOuter' THEN 'RIGHT OUTER'
+           WHEN 'FullOuter' THEN 'FULL OUTER' WHEN 'Cross' THEN 'CROSS' ELSE 'INNER' END AS join_name,
+      CASE upper(p_mode) WHEN 'OVERWRITE' THEN 'TRUNCATE_AND_INSERT' WHEN 'REPLACE' THEN 'TRUNCATE_AND_INSERT' WHEN 'MERGE' THEN 'UPSERT'
+           ELSE 'INSERT' END AS write_mode FROM stages""")
+def map_sql_names(t: Tables):
+    return Catalog(t).stages.select(
+        "job_id", "stage_id", vocab.sql_join_type(describe.prop("JoinType")).alias("join_name"),
+        vocab.sql_write_mode(describe.prop("XMLProperties.WriteMode")).alias("write_mode"))
+
+
 @query("map_write_mode", CATALOG_SQL + f"""
     SELECT job_id, stage_id, p_mode AS declared, {case_map('upper(p_mode)', vocab.WRITE_MODES, "'append'")} AS mode FROM stages""")
 def map_write_mode(t: Tables):
@@ -143,6 +156,13 @@ def map_agg_fn(t: Tables):
     return _parsed(t).select("job_id", "stage_id", "pos", "function", vocab.map_aggregate(c("function")).alias("mapped"))
 
 
+@query("map_sql_aggregate", PARSED_SQL + """
+    SELECT job_id, stage_id, pos, function, CASE WHEN function IN ('SUM', 'COUNT', 'AVG', 'MAX', 'MIN', 'STDDEV', 'VARIANCE') THEN function END AS mapped
+    FROM parsed""")
+def map_sql_aggregate(t: Tables):
+    return _parsed(t).select("job_id", "stage_id", "pos", "function", vocab.sql_aggregate(c("function")).alias("mapped"))
+
+
 @query("map_connector", CATALOG_SQL + f"""
     SELECT job_id, stage_id, {case_map('stage_type', vocab.CONNECTOR_FORMATS, "'jdbc'")} AS format FROM stages""")
 def map_connector(t: Tables):

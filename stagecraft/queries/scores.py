@@ -250,15 +250,20 @@ def qg_reject_paths(t: Tables):
 
 def _scan_sql() -> str:
     parts = [
-        f"SELECT doc_id, '{rule}' AS rule, unnest(regexp_extract_all(text, '{pattern}')) AS match FROM documents"
+        f"SELECT {key}, '{rule}' AS rule, unnest(regexp_extract_all({text}, '{pattern}')) AS match FROM {name}"
         for rule, pattern in gates.CREDENTIAL_RULES.items()
+        for name, key, text in (("documents", "'documents' AS source, doc_id AS id", "text"), ("pages", "'pages' AS source, page_id AS id", "html"))
     ]
     return " UNION ALL ".join(parts)
 
 
 @query("qg_credentials_scan", _scan_sql())
 def qg_credentials_scan(t: Tables):
-    return gates.credentials_scan(t.documents.select("doc_id", "text"), "doc_id", "text")
+    def hits(source: str, df: DataFrame) -> DataFrame:
+        return gates.credentials_scan(df, "id", "text").withColumn("source", F.lit(source))
+
+    return hits("documents", t.documents.select(c("doc_id").alias("id"), "text")).unionByName(
+        hits("pages", t.pages.select(c("page_id").alias("id"), c("html").alias("text"))))
 
 
 @query("qg_types_present", CATALOG_SQL + """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stagecraft.functions import maths, nulls, strings
-from stagecraft.operators import aggregate as agg, joins, project
+from stagecraft.operators import by_properties, aggregate as agg, joins, project
 from stagecraft.plans import customer_sales
 from stagecraft.queries.registry import Tables, query
 
@@ -218,6 +218,46 @@ def join_cross(t: Tables):
         "r_name", "n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stage_by_properties_filter", """
+    SELECT 'main' AS branch, o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'P'
+    UNION ALL SELECT 'reject', o_orderkey FROM orders WHERE NOT coalesce(o_totalprice > 1000 AND o_orderstatus <> 'P', false)""")
+def stage_by_properties_filter(t: Tables):
+    stage = {"stage_type": "PxFilter", "properties": {"FilterCondition": "o_totalprice > 1000 AND o_orderstatus <> 'P'"}}
+    out = by_properties.apply_stage(stage, t.orders)
+    return out.main.select(F.lit("main").alias("branch"), "o_orderkey").unionByName(
+        out.reject.select(F.lit("reject").alias("branch"), "o_orderkey"))
+
+
+@query("stage_by_properties_join", JOIN_SQL.format(how="LEFT", settled=""))
+def stage_by_properties_join(t: Tables):
+    stage = {"stage_type": "PxJoin", "properties": {"JoinType": "LeftOuter", "JoinKey": "custkey"}}
+    return by_properties.apply_stage(stage, order_rows(t), active_customers(t)).main
+
+
+@query("stage_by_properties_lookup", """
+    SELECT o_orderkey AS orderkey, 'No match on custkey' AS reason FROM orders
+    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 2000)""")
+def stage_by_properties_lookup(t: Tables):
+    stage = {"stage_type": "PxLookup", "properties": {"LookupKey": "custkey", "NoMatchHandling": "Reject"}}
+    return by_properties.apply_stage(stage, order_rows(t), active_customers(t)).reject.select(
+        "orderkey", c("_reject_reason").alias("reason"))
+
+
+@query("stage_by_properties_aggregate", """
+    SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS most, CAST(count(l_shipdate) AS BIGINT) AS dated
+    FROM lineitem GROUP BY ALL""")
+def stage_by_properties_aggregate(t: Tables):
+    stage = {"stage_type": "PxAggregate", "properties": {
+        "GroupByKeys": "l_returnflag, l_linestatus", "Aggregations": "COUNT(*) AS n, MAX(l_quantity) AS most, COUNT(l_shipdate) AS dated"}}
+    return by_properties.apply_stage(stage, t.lineitem).main
+
+
+@query("stage_by_properties_sort", "SELECT p_partkey, p_size, p_name FROM part")
+def stage_by_properties_sort(t: Tables):
+    stage = {"stage_type": "PxSort", "properties": {"SortKeys": "p_size DESC, p_name ASC"}}
+    return by_properties.apply_stage(stage, t.part.select("p_partkey", "p_size", "p_name")).main
+
+
 @query("join_left_with_reject", """
     SELECT 'main' AS branch, o_orderkey AS orderkey, c_name AS name, NULL AS reason
     FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 2000
