@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from stagecraft.llm.fmindex import FMIndex
@@ -102,10 +103,13 @@ def candidate_runs(runs: DataFrame) -> DataFrame:
 def sequences(docs: DataFrame, candidates: DataFrame, text_col: str, length: int) -> DataFrame:
     """(key, words, digest, first): the words of every candidate run, or of its single windows."""
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def step(batch):
             out: dict[str, list] = {"key": [], "words": [], "digest": [], "first": []}
             size = 0
-            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for packed, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = unpack(packed)
                 words, digest = text.split(), hashlib.md5(text).digest()
                 for run in runs:
                     first, last = run["first"], min(run["last"], len(words) - length)
@@ -124,18 +128,24 @@ def sequences(docs: DataFrame, candidates: DataFrame, text_col: str, length: int
             yield out
         return step
 
-    texts = docs.select(as_bytes(text_col).alias("text"))
-    keyed = texts.withColumn("doc", short_digest("text"))
-    return map_arrow(keyed.join(candidates, "doc").select("text", "runs"), make, "key long, words binary, digest binary, first int")
+    texts = packed_texts(docs, None, text_col).select("doc", "packed")
+    return map_arrow(texts.join(candidates, "doc").select("packed", "runs"), make, "key long, words binary, digest binary, first int")
 
 
-def short_digest(name: str):
-    """``doc`` of ``document_runs`` as a column."""
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _short(hashlib.md5(t).digest())).astype("int64")
+def packed_texts(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """(id, doc, digest, packed): texts on their way through a shuffle, compressed one by one."""
+    def make():
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
 
-    return run(F.col(name))
+        def step(batch):
+            texts = batch.column(1).to_pylist()
+            digests = [hashlib.md5(t).digest() for t in texts]
+            yield {"id": batch.column(0), "doc": [_short(d) for d in digests], "digest": digests, "packed": [pack(t) for t in texts]}
+        return step
+
+    kind = docs.schema[id_col].dataType.simpleString() if id_col else "long"
+    key = F.col(f"`{id_col}`") if id_col else F.lit(None).cast("long")
+    return map_arrow(docs.select(key.alias("id"), as_bytes(text_col)), make, f"id {kind}, doc long, digest binary, packed binary")
 
 
 def repeated_windows(parts: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -191,10 +201,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids are kept; an empty table gives an empty result; other columns are not read.
     """
     def make():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def step(batch):
             out: dict[str, list] = {"id": [], "n_words": [], "n_removed": [], "kept": []}
-            for key, text, spans in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                words = text.split()
+            for key, packed, spans in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                words = unpack(packed).split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for span in spans or ():
                     gone[span["from"]] += 1
@@ -207,8 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return step
 
     spans = repeated_spans(docs, text_col, length)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), as_bytes(text_col).alias("text"))
-    texts = texts.withColumn("digest", F.unhex(F.md5("text")))
+    texts = packed_texts(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(texts.join(spans, "digest", "left").select("id", "text", "spans"), make,
+    return map_arrow(texts.join(spans, "digest", "left").select("id", "packed", "spans"), make,
                      f"id {kind}, n_words long, n_removed long, kept binary").withColumn("kept", F.decode("kept", "UTF-8"))
