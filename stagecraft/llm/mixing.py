@@ -50,13 +50,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     filled = store(running(ranked.withColumn("full_at", cap * F.col("source_size") / F.col("weight")),
                            [F.col("full_at").asc(), F.col("key").asc()],
                            caps=cap * F.col("source_size"), weights=F.col("weight")), "filled")
-    whole = filled.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weights"))
-    level = (F.lit(share) * F.col("words") - F.col("caps")) / (F.col("all_weights") - F.col("weights"))
-    open_ = filled.crossJoin(F.broadcast(whole)).withColumn("level", level).where("level < full_at")  # one row
-    line = open_.agg(F.min_by("level", "rank").alias("level"))
-    return filled.crossJoin(F.broadcast(line)).select(
-        "key", "source_size", F.when(F.col("level").isNull(), cap * F.col("source_size")).otherwise(
-            F.least(F.col("level") * F.col("weight"), cap * F.col("source_size"))).cast("double").alias("target"))
+    words, weights_ = filled.agg(F.sum("source_size"), F.sum("weight")).first()  # two numbers
+    level = (F.lit(share * (words or 0)) - F.col("caps")) / (F.lit(weights_ or 0.0) - F.col("weights"))
+    line = filled.withColumn("level", level).where("level < full_at").agg(F.min_by("level", "rank")).first()[0]
+    full = F.lit(cap) * F.col("source_size")
+    return filled.select("key", "source_size", (full if line is None else F.least(F.lit(line) * F.col("weight"), full)).cast("double").alias("target"))
 
 
 def apportion(df: DataFrame, key: str, votes: str, seats: str, group: str | None = None) -> DataFrame:
@@ -67,20 +65,24 @@ def apportion(df: DataFrame, key: str, votes: str, seats: str, group: str | None
     """
     by = [group] if group else []
     voting = df.where(F.col(votes) > 0)
-    sums = voting.groupBy(*by).agg(F.sum(votes).alias("all_votes"), F.count(F.lit(1)).alias("voters"), F.max(seats).alias("all_seats"))
+    totals = [F.sum(votes).cast("double").alias("all_votes"), F.count(F.lit(1)).alias("voters"), F.max(seats).cast("long").alias("all_seats")]
+    if by:
+        joined = voting.join(voting.groupBy(*by).agg(*totals), by)
+    else:
+        joined = voting.withColumns({k: F.lit(v) for k, v in voting.agg(*totals).first().asDict().items()})
     part = F.col(votes) / F.col("all_votes")
     low = F.greatest(F.lit(0), F.floor(part * (F.col("all_seats") - F.col("voters") / 2) + 0.5 - 1e-9))
     high = F.floor(part * (F.col("all_seats") + F.col("voters") / 2) + 0.5 + 1e-9) + 1
-    sized = (voting.join(sums, by) if by else voting.crossJoin(F.broadcast(sums))).withColumns(
-        {"low": low.cast("long"), "high": high.cast("long")})
-    given = sized.groupBy(*by).agg((F.max("all_seats") - F.sum("low")).alias("open"))
+    sized = joined.withColumns({"low": low.cast("long"), "high": high.cast("long")})
+    given = (F.max("all_seats") - F.sum("low")).alias("open")
     listed = sized.select(*by, key, votes, F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("seat")).withColumn(
         "quotient", F.col(votes) / (2 * F.col("seat") - 1))
     order = [F.col("quotient").desc(), F.col(key).asc(), F.col("seat").asc()]
     if by:
-        won = listed.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).join(given, by)
+        won = listed.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).join(
+            sized.groupBy(*by).agg(given), by)
     else:
-        won = running(listed, order).crossJoin(F.broadcast(given))
+        won = running(listed, order).withColumn("open", F.lit(sized.agg(given).first()[0] or 0))
     won = won.where("rank < open").groupBy(*by, key).agg(F.count(F.lit(1)).alias("won"))
     return df.join(sized.select(*by, key, "low").join(won, [*by, key], "left"), [*by, key], "left").withColumn(
         "quota", F.coalesce(F.col("low"), F.lit(0)) + F.coalesce(F.col("won"), F.lit(0))).drop("low", "won")
@@ -94,8 +96,8 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
         seeded(id_col, text_col, seed).alias("place")).withColumn("key", source_key(F.col("source"))), "sizes")
     sources = sizes.groupBy("key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     aimed = targets(sources.select("key", "source_size"), weights, share, cap)
-    blocks = aimed.agg(F.round(F.sum("target") / block).cast("long").alias("blocks"))
-    quotas = store(apportion(aimed.crossJoin(F.broadcast(blocks)), "key", "target", "blocks").join(
+    blocks = round((aimed.agg(F.sum("target")).first()[0] or 0) / block)
+    quotas = store(apportion(aimed.withColumn("blocks", F.lit(blocks).cast("long")), "key", "target", "blocks").join(
         sources.select("key", "docs"), "key").select(
         "key", "source_size", "target", F.col("quota").alias("source_quota"), F.ceil(F.col("docs") / shard_docs).alias("shards")), "quotas")
     placed = sizes.join(quotas, "key").withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards")))

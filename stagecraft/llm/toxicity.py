@@ -211,12 +211,13 @@ def score_column(grammar: Grammar, text: Column) -> Column:
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", held_out: Column | None = None, rows: int = 20_000) -> Grammar:
+def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", held_out: Column | None = None, rows: int = 20_000,
+               text_col: str = "text") -> Grammar:
     """Learn from ``labels`` (id, toxic) outside the held-out fold; an id labelled more than once is toxic if any label says so."""
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     own = labels.where(F.col(id_col).isNotNull() & ~held).groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").alias("label_toxic"))
-    return fit(docs.join(own, F.col(f"`{id_col}`") == F.col("label_id")).select(
-        F.col("text"), F.col("label_toxic").alias("toxic")), rows=rows)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return fit(texts.join(own, F.col("id") == F.col("label_id")).select("text", F.col("label_toxic").alias("toxic")), rows=rows)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
