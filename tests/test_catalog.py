@@ -308,3 +308,16 @@ def test_arriving_files_equal_the_batch(spark, folder, cat):
         got = spark.read.parquet(f"{out}/{name}").drop("batch")
         assert got.count() == cat[name].count()
         assert got.exceptAll(cat[name].select(*got.columns)).count() == 0 if name != "stages" else True
+
+
+def test_checks_from_facts_equal_the_single_checks(spark, cat):
+    artifacts = spark.createDataFrame([("SIMPLE_JOB", "pyspark", 500), ("COMPLEX_JOB", "datafusion", 7), ("NO_JOB", "pyspark", 5)],
+                                      "job_id string, artifact_type string, size_bytes bigint")
+    args = cat["stages"], cat["links"], cat["columns"], cat["derivations"]
+    together = validation.all_checks(*args, artifacts, "expression")
+    single = [validation.schema_coverage(args[0], args[2]), validation.stage_coverage(args[0]), validation.dag_completeness(*args[:2]),
+              validation.expression_coverage(args[0], args[3], "expression"), validation.output_completeness(args[0], artifacts),
+              validation.parameter_coverage(args[0])]
+    assert sorted(map(tuple, together.collect())) == sorted(tuple(r) for df in single for r in df.collect())
+    plan = together._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 4
