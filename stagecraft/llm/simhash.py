@@ -95,6 +95,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group has no other id.  Repeated rows give repeated rows, an empty table an empty one, and other columns
     are not read.
     """
+    return rooted_groups(docs, id_col, text_col, words, radius).drop("root")
+
+
+def rooted_groups(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int = 2) -> DataFrame:
+    """(id, fingerprint, component_id, root): as ``near_groups``, with the group's least fingerprint, which names it."""
     def make():
         def step(batch):
             yield {"id": batch.column(0), "fingerprint": [signed(fingerprint(t, words)) for t in batch.column(1).to_pylist()]}
@@ -105,12 +110,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            f"id {kind}, fingerprint long"), "fingerprints")
     values = store(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "values")
     nodes = connected_components(near_links(values, "fingerprint", radius))
-    roots = values.join(nodes.withColumnRenamed("node", "fingerprint"), "fingerprint")
+    return rows.join(named_groups(values, nodes, "fingerprint"), "fingerprint").select("id", "fingerprint", "component_id", "root")
+
+
+def named_groups(values: DataFrame, nodes: DataFrame, mark: str) -> DataFrame:
+    """(mark, component_id, root) of every value (mark, least id), also of those that no link reaches."""
+    roots = values.join(nodes.withColumnRenamed("node", mark), mark)
     least = roots.groupBy("root").agg(F.min("least").alias("linked"))
-    linked = store(roots.join(least, "root").select("fingerprint", "linked"), "linked")
-    known = values.join(linked, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("linked", "least").alias("component_id"))
-    return rows.join(known, "fingerprint").select("id", "fingerprint", "component_id")
+    linked = store(roots.join(least, "root").select(mark, "linked", "root"), "linked")
+    # A linked group without any id has a NULL of its own: its values' least ids are NULL too.
+    return values.join(linked, mark, "left").select(
+        mark, F.coalesce("linked", "least").alias("component_id"), F.coalesce("root", mark).alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -119,16 +129,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     A row without an id stays only where its whole group has none.  Ids held by several rows are decided
     by fingerprint, and of several rows with a group's least id one stays.
     """
-    names = free_names(docs, "id", "mark", "root")
-    groups = store(near_groups(docs, id_col, text_col, words), "groups")
+    groups = store(rooted_groups(docs, id_col, text_col, words), "groups")
+    return one_of_each(docs, groups, "fingerprint", fingerprint_column(text_col, words), id_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, mark: str, mark_of: Column, id_col: str) -> DataFrame:
+    """The documents that have their group's least id, one of each ``root``.
+
+    ``groups`` is (id, mark, component_id, root) of every row, and ``mark_of`` gives a document's mark.
+    """
+    names = free_names(docs, "id", "mark", "least", "root")
     keep = F.col("id").eqNullSafe(F.col("component_id"))
     ids = groups.groupBy(F.col("id").alias(names["id"])).agg(F.count(F.lit(1)).alias("n"), F.max(keep).alias("keep"))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(names["id"]))
     kept = docs.join(ids.where("n > 1 or not keep").select(names["id"]), same, "left_anti")
     repeated = ids.where("n > 1").select(names["id"])
     if not repeated.isEmpty():
-        roots = groups.where(keep).select(F.col("fingerprint").alias(names["mark"]), F.col("component_id").alias(names["root"])).distinct()
-        again = docs.join(repeated, same, "left_semi").withColumn(names["mark"], fingerprint_column(text_col, words))
-        again = again.join(roots, names["mark"]).where(F.col(f"`{id_col}`").eqNullSafe(F.col(names["root"])))
+        roots = groups.where(keep).select(F.col(mark).alias(names["mark"]), F.col("component_id").alias(names["least"]),
+                                          F.col("root").alias(names["root"])).distinct()
+        again = docs.join(repeated, same, "left_semi").withColumn(names["mark"], mark_of)
+        again = again.join(roots, names["mark"]).where(F.col(f"`{id_col}`").eqNullSafe(F.col(names["least"])))
+        # By the group, not by its least id: unrelated groups may share one, or have none.
         kept = kept.unionByName(again.dropDuplicates([names["root"]]).select(*[F.col(f"`{c}`") for c in docs.columns]))
     return kept

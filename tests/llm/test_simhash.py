@@ -98,3 +98,11 @@ def test_long_text_in_chunks(monkeypatch):
     whole = simhash.fingerprint(text)
     monkeypatch.setattr(simhash, "CHUNK", 7)
     assert simhash.fingerprint(text) == whole == brute_print(text.decode())
+
+
+def test_unrelated_groups_under_one_id_or_none_keep_one_each(rows):
+    texts = [" ".join(f"{name}{i}" for i in range(30)) for name in "abcdef"]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2].upper()), (7, texts[3]), (7, texts[4]),
+            (9, texts[4]), (8, texts[5]), (None, texts[5])]
+    kept = Counter((r.doc_id, r.text.lower()) for r in simhash.keep_one(rows(data, "doc_id long, text string")).collect())
+    assert kept == Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
