@@ -37,9 +37,20 @@ def byte_ranks(tokenizer_json: bytes) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
 
 
+def added_ids(tokenizer_json: bytes) -> dict[str, int]:
+    """Content -> id of the tokens that a file adds to its vocabulary."""
+    added = json.loads(tokenizer_json).get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take blanks or stand by themselves are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 class TokenBytes:
     """A text's token ids as little-endian 32-bit numbers.
 
+    With ``added`` the file's added tokens are taken out of the text first and get their own ids, as
+    ``tokenizers`` does by default (leftmost, of several the longest); otherwise they are ordinary text.
+
     A text is cut at each single blank between two characters that are not white space: the
     tokenizer's pattern never matches across such a place, so the parts (a blank and what follows) have
     ids of their own, which are remembered for up to ``limit`` different parts.
@@ -47,13 +58,16 @@ class TokenBytes:
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, tokenizer_json: bytes, limit: int = 300_000) -> None:
+    def __init__(self, tokenizer_json: bytes, limit: int = 300_000, added: bool = False) -> None:
         import public_tokenizers
         import tiktoken
 
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
                                           mergeable_ranks=byte_ranks(tokenizer_json))
         self.known = Memo(self._part, limit)
+        found = added_ids(tokenizer_json) if added else {}
+        self.added = {content: np.array([i], "<u4").tobytes() for content, i in found.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
@@ -63,6 +77,12 @@ class TokenBytes:
         return None if not part or part[0].isspace() or part[-1].isspace() else self._encode(" " + part)
 
     def __call__(self, text: str) -> bytes:
+        parts = self.split.split(text) if self.split else [text]
+        if len(parts) == 1:
+            return self._ordinary(text)
+        return b"".join([self.added[p] if i % 2 else self._ordinary(p) for i, p in enumerate(parts)])
+
+    def _ordinary(self, text: str) -> bytes:
         first, *parts = text.split(" ")
         if not parts:
             return self._encode(text)
@@ -78,7 +98,7 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, length: int, end_id: int, tokenizer: str) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, length: int, end_id: int, tokenizer: str, added: bool = False) -> DataFrame:
     """(id, row, doc_tokens, start, length, crc, part_crcs), one row per piece, stored.
 
     ``part_crcs`` has the checksums of a short piece's parts, cut at powers of two by falling size.
@@ -87,7 +107,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, length: int, end_i
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def make():
-        encode, end = TokenBytes(vocabulary.value), np.array([end_id], "<u4").tobytes()
+        encode, end = TokenBytes(vocabulary.value, added=added), np.array([end_id], "<u4").tobytes()
 
         def step(batch):
             out: dict[str, list] = {k: [] for k in ("id", "row", "doc_tokens", "start", "length", "crc", "part_crcs")}
@@ -171,17 +191,18 @@ def pack_group(lengths: list[int], capacity: int, spare: int) -> list[tuple[int,
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0,
-         tokenizer: str | None = None, group_docs: int = 4096, spare: int = 64, seed: int = 7) -> DataFrame:
+         tokenizer: str | None = None, group_docs: int = 4096, spare: int = 64, seed: int = 7, added: bool = False) -> DataFrame:
     """(id, row, start, length, crc, doc_tokens, sequence_id, offset), one row per piece.
 
     A document's stream is its ids and then ``end_id``, so NULL and empty texts are one token long.  ``length``
-    is a power of two.  ``row`` tells repeated ids apart.  Groups are drawn by a seeded hash of the row and hold
+    is a power of two.  With ``added`` the tokens that the file adds (``<|endoftext|>``) get their own ids, otherwise
+    they are ordinary text.  ``row`` tells repeated ids apart.  Groups are drawn by a seeded hash of the row and hold
     ``group_docs`` documents on average, whatever their sources or texts.  An empty table gives an empty
     result; other columns are not read.
     """
     if length & (length - 1):
         raise ValueError("the sequence length is a power of two")
-    pieces = token_pieces(docs, id_col, text_col, length, end_id, tokenizer or default_tokenizer())
+    pieces = token_pieces(docs, id_col, text_col, length, end_id, tokenizer or default_tokenizer(), added)
     short = pieces.where(F.col("length") < length)
     groups = max(1, round(short.count() / group_docs))
     columns = ["id", "row", "start", "length", "crc", "doc_tokens"]

@@ -21,7 +21,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 @query("op1_pack_sequences")
 def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents")).select(
+    return packing.pack(table(spark, folder, "documents"), added=True).select(
         F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

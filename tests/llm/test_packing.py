@@ -108,3 +108,32 @@ def test_a_group_is_packed_whole_and_without_gaps():
                 assert end & (end - 1) == 0 or 64 - 4 <= end <= 64
             else:
                 assert end == whole
+
+
+@pytest.fixture(scope="module")
+def unchanged():
+    return Tokenizer.from_file(packing.default_tokenizer())
+
+
+@pytest.fixture(scope="module")
+def encode_added():
+    with open(packing.default_tokenizer(), "rb") as file:
+        return packing.TokenBytes(file.read(), added=True)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.just("<|endoftext|>"), st.text(alphabet=st.sampled_from(" \nab'é<|>"), max_size=8)), max_size=6))
+def test_added_tokens_get_the_ids_of_an_unchanged_tokenizer(unchanged, encode_added, parts):
+    text = "".join(parts)
+    assert np.frombuffer(encode_added(text), "<u4").tolist() == unchanged.encode(text, add_special_tokens=False).ids
+
+
+def test_the_query_gives_the_ids_of_an_unchanged_tokenizer(spark, unchanged, tmp_path):
+    from stagecraft.llm.queries import QUERIES
+
+    text = "a <|endoftext|> b"
+    assert unchanged.encode(text, add_special_tokens=False).ids == [64, 220, 50256, 275]
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows, ids = QUERIES["op1_pack_sequences"](spark, str(tmp_path)).collect(), np.array([64, 220, 50256, 275, 0], "<u4")
+    assert sum(r.length for r in rows) == 5
+    assert all(r.doc_tokens == 5 and r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in rows)
