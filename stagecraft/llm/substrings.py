@@ -13,8 +13,8 @@ place is left; windows whose matching statistic reaches ``length`` are reported
 
 A minimizer at very many places (a passage in a third of all documents) would gather a run from each
 document in one shard, since the words around the passage differ.  Such runs are sent as single windows
-instead, keyed in addition by the minimizer's place in the window and the window's outer words, so that
-only windows alike at both ends meet.  Equality of words is decided on their bytes, not on hashes.
+instead, keyed by a hash of all of the window's words, so that only equal windows meet, however the words
+between fixed ends vary.  Equality of words is decided on their bytes, not on hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from stagecraft.runtime import store
 
 SEED = 8             # words of a minimizer
 HOT = 20_000         # places of a minimizer from which on its windows travel alone
-OUTER = 4            # words at each end that such windows are keyed by
 CHUNK = 1 << 18      # words of a document looked at at a time
 SHARD_BYTES = 4 << 20
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SEED, 0, -1)], np.uint64)
@@ -115,10 +114,8 @@ def sequences(docs: DataFrame, candidates: DataFrame, text_col: str, length: int
                     first, last = run["first"], min(run["last"], len(words) - length)
                     for a, b in ((k, k) for k in range(first, last + 1)) if run["hot"] else ((first, last),) if first <= last else ():
                         part = words[a:b + length]
-                        key = run["minimizer"]
-                        if run["hot"]:
-                            key = xxhash.xxh64_intdigest(b" ".join([b"%d" % key, *part[:OUTER], *part[-OUTER:]])) - (1 << 63)
                         joined = b" ".join(part)
+                        key = xxhash.xxh64_intdigest(joined) - (1 << 63) if run["hot"] else run["minimizer"]
                         size += len(joined)
                         for name, value in zip(out, (key, joined, digest, a)):
                             out[name].append(value)

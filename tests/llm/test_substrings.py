@@ -80,3 +80,16 @@ def test_suffix_order_and_backward_search():
             starts = np.arange(max(0, len(text) - length))
             want = Counter(tuple(text[i:i + length]) for i in starts)
             assert index.repeated(text, starts, length).tolist() == [want[tuple(text[i:i + length])] > 1 for i in starts]
+
+
+def test_a_hot_passage_with_one_varying_word_is_spread(rows, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 3)
+    passage = [f"p{i}" for i in range(60)]
+    docs = rows([(i, " ".join([*passage[:30], f"name{i}", *passage[31:]])) for i in range(40)], "doc_id long, text string")
+    runs = substrings.document_runs(docs, "text", 35)
+    found = substrings.sequences(docs, substrings.candidate_runs(runs), "text", 35).collect()
+    of: dict = {}
+    for r in found:
+        if len(r.words.split()) == 35:
+            of.setdefault(r.key, set()).add(bytes(r.words))
+    assert len(of) > 40 and max(map(len, of.values())) == 1
