@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagecraft.llm import exact_dedup, mixing, ngram, packing, simhash, substrings, toxicity
+from stagecraft.llm import bestfit, exact_dedup, mixing, ngram, packing, simhash, substrings, toxicity
 from stagecraft.llm.queries.registry import query
 from stagecraft.llm.util import hex64, id_crc
 from stagecraft.runtime import table
@@ -59,3 +59,9 @@ def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query("op12_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return bestfit.pack(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
