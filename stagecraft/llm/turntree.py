@@ -74,6 +74,11 @@ def node_key(depth: Column, a: Column, b: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(",", depth.cast("string"), a.cast("string"), b.cast("string"))))
 
 
+def root_key() -> Column:
+    zero = F.lit(0).cast("decimal(38,0)")
+    return node_key(F.lit(0), zero, zero)
+
+
 def steps_of(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """(conv, depth, length, key, parent, words): the node that each rebuilt conversation reaches at each depth, stored."""
     term = lambda salt: F.xxhash64("depth", "mark", F.lit(salt)).cast("decimal(38,0)")
@@ -87,9 +92,8 @@ def steps_of(rows: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def nodes_of(steps: DataFrame, lengths: DataFrame) -> DataFrame:
     """(key, parent, depth, rep, n, weight, words), a row for each node; the root has no parent.  Stored."""
-    zero = F.lit(0).cast("decimal(38,0)")
     root = lengths.agg(F.min("conv").alias("rep"), F.count(F.lit(1)).alias("n"), F.sum(F.col("length") + 1).alias("weight")).where("n > 0").select(
-        node_key(F.lit(0), zero, zero).alias("key"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"),
+        root_key().alias("key"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"),
         "rep", "n", "weight", F.lit(0).cast("long").alias("words"))
     return store(steps.groupBy("key", "parent", "depth").agg(
         F.min("conv").alias("rep"), F.count(F.lit(1)).alias("n"), F.sum(F.col("length") - F.col("depth") + 1).alias("weight"),
@@ -128,14 +132,13 @@ def settle(parent: list[int], weight: list[int], values: list[tuple[int, ...]],
 def subtree_sums(nodes: DataFrame, steps: DataFrame, values: list[str], small: int | None = None) -> DataFrame:
     """(key, sum_<value>...): each node's totals over its subtree, itself included.
 
-    ``nodes`` has key, parent, depth, rep (a member, the same for a node and the first of its children that it passes),
+    ``nodes`` is one tree from ``root_key`` on, with key, parent, depth, rep (a member, the same for a node and the first of its children that it passes),
     weight and the values; ``steps`` has a row (conv, key, parent) for each step of each member.
     """
     small = SMALL if small is None else small
     sums = [f"sum_{v}" for v in values]
     columns = ["comp", "key", "parent", "depth", "rep", "weight", *values, *sums]
-    top = nodes.where("parent is null").select(F.col("key").alias("comp"))
-    state = store(nodes.join(top, how="cross").withColumns({s: F.lit(0).cast("long") for s in sums}).select(*columns), "components")
+    state = store(nodes.withColumns({"comp": root_key()} | {s: F.lit(0).cast("long") for s in sums}).select(*columns), "components")
     ready, done = [], []
     while True:
         large = store(state.groupBy("comp").agg(F.max("weight").alias("total")).where(F.col("total") > small), "large")
@@ -186,12 +189,12 @@ def subtree_sums(nodes: DataFrame, steps: DataFrame, values: list[str], small: i
     return out
 
 
-def ends_digest(steps: DataFrame, lengths: DataFrame, root: DataFrame) -> DataFrame:
+def ends_digest(steps: DataFrame, lengths: DataFrame) -> DataFrame:
     """(key, ends_sha256) of the nodes at which conversations end: their ids, rising and joined by commas, hashed.
 
     A node's ids are written in pieces by many tasks; only these pieces, in order, are hashed by one.
     """
-    ends = steps.where("depth = length").select("key", "conv").unionByName(lengths.where("length = 0").join(root, how="cross").select("key", "conv"))
+    ends = steps.where("depth = length").select("key", "conv").unionByName(lengths.where("length = 0").select(root_key().alias("key"), "conv"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids = None, []
@@ -244,7 +247,7 @@ def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         {"leaves": (F.col("n_children") == 0).cast("long"), "saved": (F.col("n") - 1) * F.col("words")}), "valued")
     sums = subtree_sums(valued, steps, ["leaves", "saved"])
     parents = nodes.select(F.col("key").alias("parent"), F.col("rep").alias("parent_conv_id"))
-    ends = ends_digest(steps, lengths, nodes.where("parent is null").select("key"))
+    ends = ends_digest(steps, lengths)
     return valued.join(sums, "key").join(ends, "key", "left").join(parents, "parent", "left").select(
         F.col("rep").alias("conv_id"), "depth", "parent_conv_id", F.col("n").alias("n_convs"), "n_children",
         F.col("sum_leaves").alias("n_leaves"), F.col("sum_saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(NOBODY)).alias("ends_sha256"))
