@@ -264,8 +264,10 @@ def search(vectors: DataFrame, items: list[tuple[np.ndarray, np.ndarray]], size:
                 yield pa.RecordBatch.from_pydict({"item": np.full(len(top.score), i, np.int32), "score": top.score, "no_id": top.key[:, 0].astype(bool),
                                                   "id": top.key[:, 1], "row": top.key[:, 2]})
 
-    # Dealt out by ranges of the vectors, so that a task's documents share paths; equal ones are told apart by the row.
-    dealt = vectors.select("row", "id", "no_id", "m", "path", "tf").repartitionByRange("path", "row").sortWithinPartitions("path", "row")
+    # Dealt out by ranges of the vectors' first 16 terms (short keys to sample), so that a task's documents share paths;
+    # equal ones are told apart by the row.
+    dealt = vectors.select("row", "id", "no_id", "m", "path", "tf").repartitionByRange(F.substring("path", 1, 64), F.col("row")).sortWithinPartitions(
+        "path", "row")
     found = dealt.mapInArrow(run, "item int, score long, no_id boolean, id long, row long")
     first = Window.partitionBy("item").orderBy(F.col("score").desc(), "no_id", "id", "row")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
