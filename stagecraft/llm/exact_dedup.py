@@ -25,6 +25,7 @@ from stagecraft.llm.util import as_bytes, free_names, map_arrow
 from stagecraft.runtime import store
 
 ARITY = 3
+SCREENED = 50_000_000  # keys of the filters that go to every task, 9 bits each
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -211,22 +212,58 @@ def digest_column(text_col: str) -> Column:
     return run(as_bytes(text_col))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def screen_column(dropped: DataFrame, id_col: str, own: str, known: str, digest: str, shard_keys: int) -> Column:
+    """Whether a document can be among the dropped rows: False is certain.
+
+    A binary-fuse filter for each shard of the dropped rows' (id, digest).  The filters take 9 bits a key and go to every
+    task while there are at most ``SCREENED`` keys; beyond that every row may be one.
+    """
+    def key_of(id_column: str, digest_column: str) -> Column:
+        return F.xxhash64(F.col(f"`{id_column}`"), F.col(digest_column))
+
+    keys = dropped.select(key_of(known, digest).alias("key"))
+    n = keys.count()
+    if n > SCREENED:
+        return F.lit(True)
+    shards = max(1, -(-n // shard_keys))
+    shard_of = lambda key: F.pmod(F.hash(key), F.lit(shards))
+    found = build_filters(keys.withColumn("shard", shard_of(F.col("key")))).collect()
+    shared = dropped.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] for r in found})
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series, shard: pd.Series) -> pd.Series:
+        out = np.zeros(len(key), bool)
+        for s in shard.unique():
+            if s in shared.value:
+                at = (shard == s).to_numpy()
+                out[at] = FuseFilter.from_bytes(shared.value[s]).holds(key.to_numpy()[at])
+        return pd.Series(out)
+
+    key = key_of(id_col, own)
+    return maybe(key, shard_of(key))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = 200_000) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Only the rows to drop are joined back, by id and digest (NULL ids meet NULL ids).  Rows equal in both
-    are told apart by nothing, so one of them is taken.
+    A binary-fuse filter of the rows to drop, by id and digest, lets all others pass where they are; only rows that it
+    holds are joined with the list (NULL ids meet NULL ids).  Rows equal in id and text are told apart by nothing, so one
+    of them is taken.  NULL counts as empty text, an empty table gives an empty result, very long texts are hashed whole,
+    and other columns, whatever their names, go along unread.
     """
     groups = exact_groups(docs, id_col, text_col)
-    names = free_names(docs, "id", "digest", "stay", "of", "own")
+    names = free_names(docs, "id", "digest", "stay", "of", "own", "maybe")
     stay = F.sum(F.col("kept").cast("int"))
     drop = store(groups.groupBy(F.col("id").alias(names["id"]), F.col("digest").alias(names["digest"])).agg(
         stay.alias(names["stay"]), F.count(F.lit(1)).alias(names["of"])).where(f"{names['stay']} < {names['of']}"), "drop")
+    maybe = screen_column(drop, id_col, names["own"], names["id"], names["digest"], shard_keys)
+    screened = docs.withColumn(names["own"], digest_column(text_col)).withColumn(names["maybe"], maybe)
     # Always by a merge join: what is dropped grows with the input and fits no broadcast for long.
-    marked = docs.withColumn(names["own"], digest_column(text_col)).join(
+    marked = screened.where(F.col(names["maybe"])).join(
         drop.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col(names["id"])) & (F.col(names["own"]) == F.col(names["digest"])), "left")
-    out = marked.where(f"{names['stay']} is null")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = screened.where(~F.col(names["maybe"])).select(*columns).unionByName(marked.where(f"{names['stay']} is null").select(*columns))
     one = drop.where(f"{names['stay']} > 0")
     if not one.isEmpty():
-        out = out.unionByName(marked.where(f"{names['stay']} > 0").dropDuplicates([names["id"], names["digest"]]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.unionByName(marked.where(f"{names['stay']} > 0").dropDuplicates([names["id"], names["digest"]]).select(*columns))
+    return out
