@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stagecraft.runtime import shared_folder
+from stagecraft.runtime import fresh_path, shared_folder
 
 # A word is a run of bytes other than these; ``bytes.split()`` splits at exactly the same six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -92,3 +92,25 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
             raise ValueError(f"{parent} is not below {folder}")
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables of one computation below one folder of the shared folder, deleted when a round no longer needs them."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.folder, self.stored = spark, fresh_path(spark, label), {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{len(self.stored)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.stored[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables of this folder; others, and those deleted before, are left alone."""
+        for path, df in self.stored.items():
+            if df is not None and any(df is t for t in tables):
+                where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                self.stored[path] = None
