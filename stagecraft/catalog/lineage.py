@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stagecraft.catalog.expressions import references
+from stagecraft.catalog.graph import leading_to
 from stagecraft.runtime import cut_lineage
 
 NODE = ["job_id", "stage_id", "column_name"]
@@ -100,7 +101,8 @@ def edges(columns: DataFrame, derivations: DataFrame, stages: DataFrame, links:
 def end_to_end(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Source columns of every target column: fewest hops, that path, lowest confidence on any path.
 
-    State is one row per (source column, reached column).  A round passes on only what it reached first
+    State is one row per (source column, reached column), and only columns from which a target column can be reached are
+    walked through, so every row lies on a way from a source to a target.  A round passes on only what it reached first
     or with a lower confidence than before; confidences cannot fall for ever, so a job with a cycle ends
     like the others.
     """
@@ -109,14 +111,17 @@ def end_to_end(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
         F.col("stage_id").alias("to_stage"), F.col("column_name").alias("to_column"),
         F.col("confidence").alias("edge_confidence"),
     ))
+    at = ["job_id", "at_stage", "at_column"]
+    ends = cut_lineage(node_rows.where("node_type = 'TargetColumn'").select(
+        "job_id", F.col("stage_id").alias("at_stage"), F.col("column_name").alias("at_column")
+    ))
+    useful = leading_to(ends, step, at, ["job_id", "to_stage", "to_column"])
+    step = cut_lineage(step.join(useful.withColumnsRenamed({"at_stage": "to_stage", "at_column": "to_column"}), ["job_id", "to_stage", "to_column"], "left_semi"))
     state = cut_lineage(node_rows.where("node_type = 'SourceColumn'").select(
         "job_id", F.col("stage_id").alias("source_stage"), F.col("column_name").alias("source_column"),
         F.col("stage_id").alias("at_stage"), F.col("column_name").alias("at_column"),
         F.col("stage_id").alias("path"), F.lit("1.00").cast("decimal(4,2)").alias("confidence"),
-    ))
-    ends = node_rows.where("node_type = 'TargetColumn'").select(
-        "job_id", F.col("stage_id").alias("at_stage"), F.col("column_name").alias("at_column")
-    )
+    ).join(useful, at, "left_semi"))
     who = ["job_id", "source_stage", "source_column", "at_stage", "at_column"]
     reached: list[DataFrame] = []
     best = state.select(*who, "confidence")

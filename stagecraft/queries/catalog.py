@@ -257,9 +257,9 @@ def cat_topological_level(t: Tables):
     walk AS (SELECT job_id, from_stage AS a, to_stage AS b FROM looped
       UNION SELECT w.job_id, w.a, l.to_stage FROM walk w JOIN looped l ON l.job_id = w.job_id AND l.from_stage = w.b),
     cyclic AS (SELECT DISTINCT job_id, a FROM walk WHERE a = b)
-    SELECT job_id, a AS stage_id FROM cyclic
-    UNION SELECT w1.job_id, w1.b FROM cyclic c1 JOIN walk w1 ON w1.job_id = c1.job_id AND w1.a = c1.a
-      JOIN walk w2 ON w2.job_id = w1.job_id AND w2.a = w1.b JOIN cyclic c2 ON c2.job_id = w2.job_id AND c2.a = w2.b""")
+    SELECT c.job_id, c.a AS stage_id, min(there.b) AS component FROM cyclic c
+      JOIN walk there ON there.job_id = c.job_id AND there.a = c.a
+      JOIN walk back ON back.job_id = c.job_id AND back.a = there.b AND back.b = c.a GROUP BY ALL""")
 def cat_cycle_check(t: Tables):
     """The catalog's links plus some that lead back."""
     cat = Catalog(t)
@@ -267,7 +267,7 @@ def cat_cycle_check(t: Tables):
     links = cut_lineage(cat.links.select("job_id", "from_stage", "to_stage"))
     back = links.join(loops, ["job_id", "from_stage"], "left_semi").select(
         "job_id", c("to_stage").alias("from_stage"), c("from_stage").alias("to_stage"))
-    return graph.cyclic_stages(cat.stages, links.unionByName(back))
+    return graph.cycle_components(cat.stages, links.unionByName(back))
 
 
 ORPHANS_SQL = CATALOG_SQL + """,

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Runtime SQL settings every plan relies on.  AQE splits skewed join partitions; the force
 # flag keeps that split even where a later operator would have reused the join's partitioning.
@@ -84,5 +84,12 @@ def store(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_counted(df: DataFrame, label: str = "table", **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``store``, and how many of the written rows meet each condition, counted by the write itself."""
+    seen = Observation()
+    out = store(df.observe(seen, *[F.count(F.when(c, 1)).alias(k) for k, c in conditions.items()]), label)
+    return out, dict(seen.get)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -214,6 +214,58 @@ def test_graph_that_is_one_loop(spark):
     assert graph.cyclic_stages(stages, links).count() == 2
 
 
+def test_components_of_cycles(spark):
+    # Two loops joined by a bridge, one inside a larger one, a loop of a stage with itself, tails on both sides.
+    edges = [("in", "b"), ("b", "c"), ("c", "b"), ("c", "bridge"), ("bridge", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("y", "x"), ("z", "out"),
+             ("self", "self"), ("out", "self"), ("m", "a"), ("a", "m"), ("z", "m")]
+    stages, links = graph_of(spark, edges, ["lone"])
+    got = {r["stage_id"]: r["component"] for r in graph.cycle_components(stages, links).collect()}
+    assert got == {"b": "b", "c": "b", "x": "x", "y": "x", "z": "x", "self": "self", "a": "a", "m": "a"}
+
+
+def test_random_components_and_levels(spark):
+    import random
+
+    rng = random.Random(7)
+    names = [f"n{i:02}" for i in range(30)]
+    edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(38)})
+    stages, links = graph_of(spark, edges, names)
+    out = {a: {b for x, b in edges if x == a} for a in names}
+    ways = {a: set(out[a]) for a in names}
+    for _ in names:
+        for a in names:
+            ways[a] |= {y for x in ways[a] for y in out[x]}
+    want = {a: min(b for b in ways[a] if a in ways[b]) for a in names if a in ways[a]}
+    assert {r["stage_id"]: r["component"] for r in graph.cycle_components(stages, links).collect()} == want
+    behind = set(want) | {b for a in want for b in ways[a]}
+    level = {}
+    while len(level) < len(names) - len(behind):
+        for b in names:
+            before = [a for a in names if b in out[a]]
+            if b not in behind and all(a in level for a in before):
+                level[b] = max((level[a] + 1 for a in before), default=0)
+    assert {r["stage_id"]: r["level"] for r in graph.topological_levels(stages, links).collect()} == {n: level.get(n) for n in names}
+
+
+def test_closure_holds_no_pair_off_the_way(spark, monkeypatch):
+    """A source with a wide and deep dead branch, and one way to a target."""
+    dead = [("s", f"d{i}") for i in range(40)] + [(f"d{i}", f"e{j}") for i in range(40) for j in range(5)]
+    stages, links = graph_of(spark, [("s", "m"), ("m", "t"), ("s2", "m"), *dead])
+    io = {"s": "source", "s2": "source", "t": "target"}
+    classified = stages.withColumn("io", F.create_map(*[F.lit(x) for kv in io.items() for x in kv])[F.col("stage_id")])
+    held, plain = [], graph.store_counted
+
+    def counting(df, label, **conditions):
+        out, n = plain(df, label, **conditions)
+        held.append((label, out.count()))
+        return out, n
+
+    monkeypatch.setattr(graph, "store_counted", counting)
+    got = sorted(tuple(r) for r in graph.lineage_closure(classified, links).collect())
+    assert got == [("j", "s", "t", 2), ("j", "s2", "t", 2)]
+    assert sum(n for label, n in held if label == "reached") == 4  # (s, m), (s2, m), (s, t), (s2, t)
+
+
 def test_reach_on_a_loop_ends(spark):
     stages, links = graph_of(spark, [("a", "b"), ("b", "c"), ("c", "a")])
     got = graph.reach(stages.where("stage_id = 'a'"), links)
