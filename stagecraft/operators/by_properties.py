@@ -34,36 +34,98 @@ def join_stage(props: Mapping[str, str], left: DataFrame, right: DataFrame) -> B
 
 
 def lookup_stage(props: Mapping[str, str], df: DataFrame, reference: DataFrame) -> Branches:
-    """``LookupKey`` and ``NoMatchHandling`` (absent: Continue)."""
-    return joins.lookup(df, reference, _names(props.get("LookupKey")), props.get("NoMatchHandling") or "Continue")
+    """``LookupKey`` and ``NoMatchHandling`` (any case, absent: Continue).
+
+    A lookup never multiplies rows: of reference rows with one key the least by its other columns counts.
+    """
+    keys = _names(props.get("LookupKey"))
+    order = [F.col(c) for c in reference.columns if c not in keys] or [F.lit(0)]
+    return joins.lookup(df, joins.one_per_key(reference, keys, order), keys, (props.get("NoMatchHandling") or "Continue").strip().capitalize())
+
+
+def top_level(text: str) -> list[str]:
+    """The parts between commas that stand in no parentheses and no quotes."""
+    parts, depth, quote = [""], 0, ""
+    for ch in text:
+        if quote:
+            quote = "" if ch == quote else quote
+        elif ch in "'\"`":
+            quote = ch
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "," and not depth:
+            parts.append("")
+            continue
+        parts[-1] += ch
+    return [p.strip() for p in parts if p.strip()]
+
+
+AGGREGATION = re.compile(r"(?is)^(\w+)\s*\((.*)\)\s+AS\s+(\w+)$")
+
+
+def aggregations(text: str) -> list[tuple[str, str, str]]:
+    """``SUM(ROUND(A, 2)) AS X, COUNT(DISTINCT B) AS N`` -> (function, what stands in its parentheses, name)."""
+    out = []
+    for part in top_level(text):
+        found = AGGREGATION.match(part)
+        if not found:
+            raise ValueError(f"not an aggregation: {part}")
+        function, inner, name = found.group(1).upper(), found.group(2).strip(), found.group(3)
+        if function not in {*aggregate.AGGREGATES, "FIRST", "LAST", "COLLECT_LIST"}:
+            raise ValueError(f"unknown aggregate: {function}")
+        out.append((function, inner, name))
+    return out
 
 
 def measures(text: str, order: list[str] | None = None) -> dict[str, Column]:
-    """``SUM(A) AS X, COUNT(*) AS N`` -> aggregates by name.  FIRST and LAST need an order."""
+    """Aggregates by name, of columns or of whole expressions.  FIRST and LAST need an order; COLLECT_LIST is no measure."""
     out: dict[str, Column] = {}
-    for part in re.findall(r"[^,()]+\([^)]*\)[^,]*", text):
-        call, _, name = part.partition(")")
-        function, _, column = call.partition("(")
-        function, column, name = function.strip().upper(), column.strip(), name.split()
-        if len(name) != 2 or name[0].upper() != "AS":
-            raise ValueError(f"not an aggregation: {part.strip()}")
+    for function, inner, name in aggregations(text):
+        distinct = re.match(r"(?is)^DISTINCT\b(.*)$", inner)
         if function in ("FIRST", "LAST"):
             if not order:
                 raise ValueError(f"{function} needs SortKeys")
-            out[name[1]] = (aggregate.first_by if function == "FIRST" else aggregate.last_by)(column, order)
-        elif function == "COUNT" and column == "*":
-            out[name[1]] = F.count(F.lit(1))
-        elif function in aggregate.AGGREGATES:
-            out[name[1]] = aggregate.AGGREGATES[function](F.col(column))
+            by = F.struct(*[F.col(o) for o in order])
+            out[name] = (F.min_by if function == "FIRST" else F.max_by)(F.expr(inner), by)
+        elif function == "COLLECT_LIST":
+            raise ValueError("COLLECT_LIST gives several rows a group: use collect_pieces")
+        elif function == "COUNT" and inner == "*":
+            out[name] = F.count(F.lit(1))
+        elif distinct and function == "COUNT":
+            out[name] = F.count_distinct(*[F.expr(c) for c in top_level(distinct.group(1))])
+        elif distinct:
+            out[name] = F.expr(f"{function}(DISTINCT {distinct.group(1)})")
         else:
-            raise ValueError(f"unknown aggregate: {function}")
+            out[name] = aggregate.AGGREGATES[function](F.expr(inner))
     return out
 
 
+LIST_ROWS = 10_000
+
+
 def aggregate_stage(props: Mapping[str, str], df: DataFrame) -> Branches:
-    """``GroupByKeys``, ``Aggregations`` and, for FIRST and LAST, ``SortKeys``."""
+    """``GroupByKeys``, ``Aggregations`` and, for FIRST and LAST, ``SortKeys``.
+
+    COLLECT_LIST comes in pieces of at most ``LIST_ROWS`` values, each a row with its number in ``piece``; the other
+    aggregates of the group stand on each of them.
+    """
     order = [k.split()[0] for k in _names(props.get("SortKeys"))]
-    return _only(aggregate.aggregate(df, _names(props.get("GroupByKeys")), measures(props.get("Aggregations") or "", order)))
+    keys, text = _names(props.get("GroupByKeys")), props.get("Aggregations") or ""
+    lists = [a for a in aggregations(text) if a[0] == "COLLECT_LIST"]
+    if not lists:
+        return _only(aggregate.aggregate(df, keys, measures(text, order)))
+    others = ", ".join(f"{f}({inner}) AS {name}" for f, inner, name in aggregations(text) if f != "COLLECT_LIST")
+    out = aggregate.aggregate(df, keys, measures(others, order)) if others else df.select(*keys).distinct()
+    for i, (_, inner, name) in enumerate(lists):
+        pieces = aggregate.collect_pieces(df.select(*keys, F.expr(inner).alias(name)), keys, name, LIST_ROWS, name)
+        on = keys if i == 0 else [*keys, "piece"]
+        pieces = pieces.withColumnsRenamed({k: f"_own_{k}" for k in on})
+        same = [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in on]
+        out = out.join(pieces, same, "left" if i == 0 else "full")
+        if i:
+            out = out.withColumns({k: F.coalesce(k, f"_own_{k}") for k in on})
+        out = out.drop(*[f"_own_{k}" for k in on])
+    return _only(out)
 
 
 def sort_stage(props: Mapping[str, str], df: DataFrame) -> Branches:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stagecraft.functions.maths import checksum
-from stagecraft.operators.cells import RANGE, day_cells, neighbour, number_rows, range_cells
+from stagecraft.operators.cells import RANGE, day_cells, neighbour, neighbour_by_size, number_rows, range_cells, rank_by_size
 from stagecraft.runtime import store
 
 OPEN_END = "9999-12-31"
@@ -20,11 +20,9 @@ def dedup(df: DataFrame, keys: list[str], order: list[str], keep: str = "first")
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def rank_rows(df: DataFrame, keys: list[str], order: str, tiebreak: str, cell: Column) -> DataFrame:
+def rank_rows(df: DataFrame, keys: list[str], order: str, tiebreak: str, rows_per_cell: int = 2_000_000) -> DataFrame:
     """row_number, rank and lead of ``order`` per key, for groups of any size."""
-    ranked = number_rows(df, keys, [F.col(order), F.col(tiebreak)], cell, "row_number", None)
-    ranked = number_rows(ranked, keys, [F.col(order)], cell, None, "rank")
-    return neighbour(ranked, keys, [order, tiebreak], cell, {"next_value": order})
+    return rank_by_size(df, keys, order, tiebreak, rows_per_cell)
 
 
 def surrogate_key(df: DataFrame, order: str, start: int = 0, name: str = "sk",
@@ -70,7 +68,8 @@ def _paired(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
 def change_capture(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys, ``change`` (insert / update / delete / unchanged), old_* and new_* values.
 
-    NULL-safe compare of the columns themselves: no hash collisions, no text rendering.
+    NULL-safe compare of the columns themselves: no hash collisions, no text rendering.  A key that occurs twice in one
+    image is an error.
     """
     change = (
         F.when(F.col("b._in").isNull(), "insert")
@@ -78,7 +77,7 @@ def change_capture(before: DataFrame, after: DataFrame, keys: list[str], columns
         .when(_struct("b", columns).eqNullSafe(_struct("a", columns)), "unchanged")
         .otherwise("update")
     )
-    return _paired(before, after, keys).select(
+    return _paired(single(before, keys, "before"), single(after, keys, "after"), keys).select(
         *[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys],
         change.alias("change"),
         *[F.col(f"b.{c}").alias(f"old_{c}") for c in columns],
@@ -138,23 +137,31 @@ def scd1(dim: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def collapse_unchanged(versions: DataFrame, keys: list[str], order: list[str], columns: list[str],
-                       cell: Column | None = None) -> DataFrame:
-    """Drop a version whose columns equal those of the version before it."""
-    cell = day_cells(F.col(order[0])) if cell is None else cell
+                       cell: Column | None = None, rows_per_cell: int = 2_000_000) -> DataFrame:
+    """Drop a version whose columns equal those of the version before it.
+
+    Without a ``cell`` of the caller's, keys of more than ``rows_per_cell`` versions are cut by row counts.
+    """
     # The columns themselves are compared, NULL-safe: no text rendering can make two versions alike.
     before = {f"_last_{i}": c for i, c in enumerate(columns)}
-    seen = neighbour(versions.withColumn("_row", F.lit(True)), keys, order, cell, {"_has_last": "_row", **before}, step=-1)
+    marked, values = versions.withColumn("_row", F.lit(True)), {"_has_last": "_row", **before}
+    seen = (neighbour_by_size(marked, keys, order, values, -1, rows_per_cell) if cell is None
+            else neighbour(marked, keys, order, cell, values, step=-1))
     same = F.col("_has_last").isNotNull()
     for last, column in before.items():
         same = same & F.col(column).eqNullSafe(F.col(last))
     return seen.where(~same).drop("_row", "_has_last", *before)
 
 
-def scd2_history(versions: DataFrame, keys: list[str], order: list[str], cell: Column | None = None) -> DataFrame:
-    """Type 2 history: EFF_END_DATE is the next version's start, the open one ends at 9999-12-31."""
+def scd2_history(versions: DataFrame, keys: list[str], order: list[str], cell: Column | None = None,
+                 rows_per_cell: int = 2_000_000) -> DataFrame:
+    """Type 2 history: EFF_END_DATE is the next version's start, the open one ends at 9999-12-31.
+
+    Without a ``cell`` of the caller's, keys of more than ``rows_per_cell`` versions are cut by row counts.
+    """
     start = order[0]
-    cell = day_cells(F.col(start)) if cell is None else cell
-    out = neighbour(versions, keys, order, cell, {"_next": start})
+    out = (neighbour_by_size(versions, keys, order, {"_next": start}, 1, rows_per_cell) if cell is None
+           else neighbour(versions, keys, order, cell, {"_next": start}))
     return (
         out.withColumn("EFF_END_DATE", F.coalesce(F.col("_next").cast("date"), F.lit(OPEN_END).cast("date")))
         .withColumn("IS_CURRENT_FLAG", F.when(F.col("_next").isNull(), 1).otherwise(0))
@@ -163,43 +170,42 @@ def scd2_history(versions: DataFrame, keys: list[str], order: list[str], cell: C
 
 
 def scd2_merge(dim: DataFrame, snapshot: DataFrame, keys: list[str], columns: list[str],
-               run_date: str) -> DataFrame:
+               run_date: str, defaults: dict[str, Column] | None = None) -> DataFrame:
     """Type 2 load of a full snapshot.
 
-    dim: keys, columns, EFF_START_DATE, EFF_END_DATE, IS_CURRENT_FLAG.  Closed versions stay.  A
-    changed current version is expired at the run date and followed by a new one; a new key is
-    inserted; an unchanged or absent key stays open.  Loading the same snapshot again adds nothing.
+    dim: keys, columns, EFF_START_DATE, EFF_END_DATE, IS_CURRENT_FLAG and any other columns.  Versions that are not
+    current (flag 0, or NULL) stay as they are.  A changed current version is expired at the run date and followed by a
+    new one; a new key is inserted; an unchanged or absent key stays open.  Loading the same snapshot again adds nothing.
+    Other columns of the dimension stay with their versions; new versions get NULL there, or what ``defaults`` gives.
     NULL keys meet NULL keys; a key that occurs twice in the snapshot is an error.
     """
     day = F.lit(run_date).cast("date")
-    closed = dim.where("IS_CURRENT_FLAG = 0")
-    current = dim.where("IS_CURRENT_FLAG = 1")
-    pairs = _paired(current, single(snapshot, keys, "snapshot"), keys)
+    is_current = F.coalesce(F.col("IS_CURRENT_FLAG") == 1, F.lit(False))
+    pairs = _paired(dim.where(is_current), single(snapshot, keys, "snapshot"), keys)
     same = _struct("b", columns).eqNullSafe(_struct("a", columns))
     has_old, has_new = F.col("b._in").isNotNull(), F.col("a._in").isNotNull()
     changed = has_old & has_new & ~same
+    others = [c for c in dim.columns if c not in {*keys, *columns, "EFF_START_DATE", "EFF_END_DATE", "IS_CURRENT_FLAG"}]
 
-    def version(side: str, start: Column, end: Column, flag: Column) -> Column:
+    def version(side: str, start: Column, end: Column, flag: Column, rest: dict[str, Column]) -> Column:
         """Fields by name, each cast to the dimension's own type."""
         return F.struct(*[F.col(f"{side}.{c}").cast(dim.schema[c].dataType).alias(c) for c in columns],
-                        start.cast("date").alias("s"), end.cast("date").alias("e"), flag.cast("int").alias("c"))
+                        start.cast("date").alias("EFF_START_DATE"), end.cast("date").alias("EFF_END_DATE"),
+                        flag.cast("int").alias("IS_CURRENT_FLAG"),
+                        *[rest.get(c, F.lit(None)).cast(dim.schema[c].dataType).alias(c) for c in others])
 
     old = version("b", F.col("b.EFF_START_DATE"), F.when(changed, day).otherwise(F.col("b.EFF_END_DATE")),
-                  F.when(changed, 0).otherwise(1))
-    new = version("a", day, F.lit(OPEN_END), F.lit(1))
+                  F.when(changed, 0).otherwise(1), {c: F.col(f"b.{c}") for c in others})
+    new = version("a", day, F.lit(OPEN_END), F.lit(1), defaults or {})
     versions = F.filter(
         F.array(F.when(has_old, old), F.when(has_new & (~has_old | changed), new)),
         lambda v: v.isNotNull(),
     )
     loaded = pairs.select(
         *[F.coalesce(F.col(f"b.{k}"), F.col(f"a.{k}")).alias(k) for k in keys],
-        F.explode(versions).alias("v"),
-    ).select(
-        *keys, *[F.col(f"v.{c}").alias(c) for c in columns],
-        F.col("v.s").alias("EFF_START_DATE"), F.col("v.e").alias("EFF_END_DATE"),
-        F.col("v.c").alias("IS_CURRENT_FLAG"),
-    )
-    return closed.select(*loaded.columns).unionByName(loaded)
+        F.explode(versions).alias("_v"),
+    ).select(*keys, "_v.*")
+    return dim.where(~is_current).select(*loaded.columns).unionByName(loaded)
 
 
 def scd3(versions: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:

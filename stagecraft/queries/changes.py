@@ -42,8 +42,7 @@ _dedup("dedup_keep_last", "last", "DESC")
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def rank_functions(t: Tables):
     orders = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
-    cell = width_cells(F.unix_date(c("o_orderdate").cast("date")), 365)
-    return changes.rank_rows(orders, ["o_custkey"], "o_orderdate", "o_orderkey", cell).select(
+    return changes.rank_rows(orders, ["o_custkey"], "o_orderdate", "o_orderkey").select(
         "o_custkey", "o_orderkey", "row_number", "rank", _day("next_value"))
 
 

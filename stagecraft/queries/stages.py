@@ -396,10 +396,10 @@ def agg_first_last(t: Tables):
 
 
 @query("agg_collect_list", """
-    SELECT o_custkey, CAST(o_orderkey // 10000 AS BIGINT) AS piece,
-           array_to_string(list_sort(list(o_orderkey)), ',') AS orders FROM orders GROUP BY ALL""")
+    SELECT o_custkey, CAST((nth - 1) // 4 AS BIGINT) AS piece, array_to_string(list_sort(list(o_orderkey)), ',') AS orders
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) GROUP BY ALL""")
 def agg_collect_list(t: Tables):
-    lists = agg.collect_pieces(t.orders, ["o_custkey"], "o_orderkey", 10_000, "orders")
+    lists = agg.collect_pieces(t.orders, ["o_custkey"], "o_orderkey", 4, "orders")
     return lists.withColumn("orders", F.array_join(c("orders").cast("array<string>"), ","))
 
 

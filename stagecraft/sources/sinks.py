@@ -31,13 +31,18 @@ def write_path(df: DataFrame, path: str, mode: str = "append", fmt: str = "parqu
 
 
 def merge_write(spark: SparkSession, target: str, updates: DataFrame, keys: list[str],
-                out: str | None = None) -> str:
-    """Upsert into a parquet folder: the merged image is written beside it, the new path returned.
+                out: str | None = None, fmt: str = "parquet", delimiter: str = ",", header: bool = True) -> str:
+    """Upsert into a folder: the merged image is written beside it in the same format, the new path returned.
 
-    Readers of the old path are never disturbed, and a lost write leaves it untouched.
+    A delimited folder is read by the updates' column names and types, in their order.  Readers of the old path are never
+    disturbed, and a lost write leaves it untouched.
     """
     out = out or _beside(target)
-    merge_upsert(spark.read.parquet(target), updates, keys).write.mode("errorifexists").parquet(out)
+    if fmt == "csv":
+        master = spark.read.schema(updates.schema).option("header", header).option("sep", delimiter).option("enforceSchema", not header).csv(target)
+    else:
+        master = spark.read.format(fmt).load(target)
+    write_path(merge_upsert(master, updates, keys), out, "errorifexists", fmt, None, delimiter, header)
     return out
 
 
@@ -56,7 +61,7 @@ def merge_table(spark: SparkSession, name: str, updates: DataFrame, keys: list[s
     if row_level:
         on = None
         for k in keys:
-            same = F.expr(f"source.`{k}` = {name}.`{k}`")
+            same = F.expr(f"source.`{k}` <=> {name}.`{k}`")  # NULL keys meet, as in the merge that is written beside
             on = same if on is None else on & same
         updates.alias("source").mergeInto(name, on).whenMatched().updateAll().whenNotMatched().insertAll().merge()
         return
@@ -83,10 +88,10 @@ def write_sink(df: DataFrame, stage: dict, params: Mapping[str, object] | None =
     path = props.get("File") or props.get("FileName") or stage.get("path")
     if path:
         fmt = "csv" if connector_options(stage["stage_type"])["format"] == "csv" else "parquet"
+        delimiter, header = props.get("Delimiter", ","), str(props.get("FirstLineIsHeader", "true")).lower() == "true"
         if mode == "merge":
-            return merge_write(spark, path, df, stage["merge_keys"])
-        write_path(df, path, mode, fmt, stage.get("partition_by"), props.get("Delimiter", ","),
-                   str(props.get("FirstLineIsHeader", "true")).lower() == "true")
+            return merge_write(spark, path, df, stage["merge_keys"], None, fmt, delimiter, header)
+        write_path(df, path, mode, fmt, stage.get("partition_by"), delimiter, header)
         return path
     name = props.get("XMLProperties.TableName") or props["TableName"]
     if str(props.get("XMLProperties.CreateTableIfNotExists", "false")).lower() == "true":
