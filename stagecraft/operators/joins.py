@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stagecraft.operators.project import Branches
+from stagecraft.runtime import store_split
 
 # The stage language's join names and the reject text.
 JOIN_TYPES = {
@@ -50,9 +51,24 @@ def join_with_reject(left: DataFrame, right: DataFrame, keys: list[str],
                      reason: str | None = None) -> Branches:
     """Left outer join with two pins: matched rows, and left rows without a partner."""
     reason = reason or f"No match on {','.join(keys)}"
-    main = left.join(right, keys, "inner")
-    reject = left.join(right.select(*keys).distinct(), keys, "left_anti")
-    return Branches(main, reject.withColumn("_reject_reason", F.lit(reason)))
+    return _matched_or_not(left, right, keys, reason)
+
+
+def _matched_or_not(left: DataFrame, right: DataFrame, keys: list[str], reason: str) -> Branches:
+    """Both pins of one join.
+
+    The rows of a left join, tagged, are written once, to a folder for each pin.  Where that cannot be done (a stream, or
+    both sides have a column of one name) each pin is a join of its own.
+    """
+    names = [c.lower() for c in (*left.columns, *[c for c in right.columns if c not in keys])]
+    if left.isStreaming or right.isStreaming or len(set(names)) < len(names):
+        main = left.join(right, keys, "inner")
+        reject = left.join(right.select(*keys).distinct(), keys, "left_anti")
+        return Branches(main, reject.withColumn("_reject_reason", F.lit(reason)))
+    tagged = left.join(right.withColumn("_pin", F.lit("main")), keys, "left").withColumn("_pin", F.coalesce("_pin", F.lit("reject")))
+    pins = store_split(tagged, "_pin")
+    main, reject = (pins.where(F.col("_pin") == p).drop("_pin") for p in ("main", "reject"))
+    return Branches(main, reject.select(*left.columns).withColumn("_reject_reason", F.lit(reason)))
 
 
 def one_per_key(ref: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -79,10 +95,7 @@ def lookup(df: DataFrame, ref: DataFrame, keys: list[str], no_match: str = "Cont
     if no_match == "Drop":
         return Branches(df.join(side, keys, "inner"), nobody)
     if no_match == "Reject":
-        return Branches(
-            df.join(side, keys, "inner"),
-            df.join(side.select(*keys), keys, "left_anti").withColumn("_reject_reason", reason),
-        )
+        return _matched_or_not(df, side, keys, f"No match on {','.join(keys)}")
     values = [c for c in ref.columns if c not in keys]
     flagged = df.join(side.withColumn("_hit", F.lit(True)), keys, "left")
     if no_match == "Fail":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def rule_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -86,3 +86,30 @@ def stage_row_counts(named: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("ok", F.when(F.col("rows") > 0, 1).otherwise(0))
+
+
+class StageCounts:
+    """Row counts of the stages of a job, observed while the job's own action runs: no output is read for its count.
+
+    ``watch`` each stage's output and go on with what it returns; after the action, ``report``.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, stage: str, **conditions: Column) -> DataFrame:
+        """The same rows; counted, and for each name those that meet a condition."""
+        if stage in self.seen:
+            raise ValueError(f"stage {stage} is watched already")
+        self.seen[stage] = Observation()
+        counts = {"rows": F.count(F.lit(1)), **{n: F.count(F.when(c, 1)) for n, c in conditions.items()}}
+        return df.observe(self.seen[stage], *[c.alias(n) for n, c in counts.items()])
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(stage, metric, n, ok): 0 rows is a failed stage; n and ok are NULL where Spark found that it need not run the stage."""
+        found = []
+        for stage, seen in self.seen.items():
+            counts = dict(seen.get)
+            for metric, n in counts.items() if counts else [("rows", None)]:
+                found.append((stage, metric, n, None if n is None else int(n > 0 or metric != "rows")))
+        return spark.createDataFrame(found, "stage string, metric string, n long, ok int")

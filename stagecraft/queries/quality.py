@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation, functions as F
+from pyspark.sql import functions as F
 
 from stagecraft.operators import quality
 from stagecraft.plans import customer_sales
@@ -16,26 +16,32 @@ c = F.col
 
 
 @query("dq_row_counts", """
-    SELECT 'join' AS stage, count(*) AS rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    UNION ALL SELECT 'filter', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_extendedprice > 50000 AND l_returnflag <> 'R'""")
+    WITH j AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    f AS (SELECT * FROM j WHERE l_extendedprice > 50000 AND l_returnflag <> 'R')
+    SELECT 'lines' AS stage, 'rows' AS metric, count(*) AS n, 1 AS ok FROM lineitem
+    UNION ALL SELECT 'lines', 'returned', count(*) FILTER (l_returnflag = 'R'), 1 FROM lineitem
+    UNION ALL SELECT 'orders', 'rows', count(*), 1 FROM orders UNION ALL SELECT 'join', 'rows', count(*), 1 FROM j
+    UNION ALL SELECT 'filter', 'rows', count(*), 1 FROM f UNION ALL SELECT 'groups', 'rows', count(DISTINCT l_returnflag), 1 FROM f""")
 def dq_row_counts(t: Tables):
-    """Counts taken by the flow itself as it runs once, not by one count per stage."""
-    at_join, at_filter = Observation(), Observation()
-    joined = t.lineitem.select("l_orderkey", "l_extendedprice", "l_returnflag").join(
-        t.orders.select(c("o_orderkey").alias("l_orderkey")), "l_orderkey"
-    ).observe(at_join, F.count(F.lit(1)).alias("rows"))
-    kept = joined.where("l_extendedprice > 50000 AND l_returnflag <> 'R'").observe(
-        at_filter, F.count(F.lit(1)).alias("rows"))
-    kept.write.format("noop").mode("overwrite").save()
-    counts = [("join", at_join.get["rows"]), ("filter", at_filter.get["rows"])]
-    return t.spark.createDataFrame(counts, "stage string, rows bigint")
+    """Counts of five stages, taken by the flow itself as it runs once."""
+    counts = quality.StageCounts()
+    lines = counts.watch(t.lineitem.select("l_orderkey", "l_extendedprice", "l_returnflag"), "lines", returned=c("l_returnflag") == "R")
+    orders = counts.watch(t.orders.select(c("o_orderkey").alias("l_orderkey")), "orders")
+    joined = counts.watch(lines.join(orders, "l_orderkey"), "join")
+    kept = counts.watch(joined.where("l_extendedprice > 50000 AND l_returnflag <> 'R'"), "filter")
+    groups = counts.watch(kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), "groups")
+    groups.write.format("noop").mode("overwrite").save()
+    return counts.report(t.spark)
 
 
 @query("dq_stage_outputs", """
     SELECT 'customers' AS stage, count(*) AS rows, 1 AS ok FROM customer
     UNION ALL SELECT 'rich', count(*), CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM customer WHERE c_acctbal > 1000000""")
 def dq_stage_outputs(t: Tables):
-    return quality.stage_row_counts({"customers": t.customer, "rich": t.customer.where("c_acctbal > 1000000")})
+    counts = quality.StageCounts()
+    customers = counts.watch(t.customer.select("c_acctbal"), "customers")
+    counts.watch(customers.where("c_acctbal > 1000000"), "rich").write.format("noop").mode("overwrite").save()
+    return counts.report(t.spark).select("stage", c("n").alias("rows"), "ok")
 
 
 @query("dq_rule_report", SALES_SQL + """

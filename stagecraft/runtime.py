@@ -91,5 +91,16 @@ def store_counted(df: DataFrame, label: str = "table", **conditions: Column) ->
     return out, dict(seen.get)
 
 
+def store_split(df: DataFrame, column: str, label: str = "pins") -> DataFrame:
+    """``store``, cut into a folder for each value of a text column: a reader of one value reads only its folder.
+
+    The rows are computed once, however many outputs a stage has.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.select(*[c for c in df.columns if c != column], column).schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
