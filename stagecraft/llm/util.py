@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -80,10 +81,21 @@ def map_arrow(df: DataFrame, make: Callable, schema: str) -> DataFrame:
             if batch.num_rows:
                 for out in step(batch):
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        step = batch = out = None
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table written by ``store`` that nothing reads any more."""
     jvm, folder = spark.sparkContext._jvm, shared_folder(spark)
