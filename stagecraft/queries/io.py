@@ -274,6 +274,23 @@ def sink_merge(t: Tables):
     return t.spark.read.parquet(sinks.merge_write(t.spark, path, updates, ["c_custkey"]))
 
 
+@query("sink_merge_files", """
+    SELECT c_custkey, CASE WHEN c_custkey % 97 = 5 THEN c_acctbal + 1 WHEN c_mktsegment = 'FURNITURE' AND c_acctbal > 5000 THEN 0
+           ELSE c_acctbal END AS c_acctbal FROM customer
+    WHERE c_mktsegment <> 'FURNITURE' OR c_custkey % 97 = 5 OR c_acctbal > 5000""")
+def sink_merge_files(t: Tables):
+    """Two merges, updates and then new keys; the second starts from what the first one left."""
+    path = fresh_path(t.spark, "merge")
+    rows = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment")
+    held = rows.where("c_mktsegment <> 'FURNITURE'")
+    held.drop("c_mktsegment").repartitionByRange("c_custkey").write.parquet(path)
+    changed = rows.where("c_custkey % 97 = 5").select("c_custkey", (c("c_acctbal") + 1).alias("c_acctbal"))
+    sinks.merge_files(t.spark, path, changed, ["c_custkey"])
+    new = rows.where("c_mktsegment = 'FURNITURE' AND c_acctbal > 5000 AND c_custkey % 97 <> 5").select("c_custkey", F.lit(0).cast(rows.schema["c_acctbal"].dataType).alias("c_acctbal"))
+    sinks.merge_files(t.spark, path, new, ["c_custkey"])
+    return sinks.read_merged(t.spark, path)
+
+
 @query("sink_create_if_missing", "SELECT s_suppkey, s_name FROM supplier")
 def sink_create_if_missing(t: Tables):
     rows = t.supplier.select("s_suppkey", "s_name")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stagecraft.operators.changes import merge_upsert
+from stagecraft.runtime import store
 from stagecraft.sources.connectors import connector_options, resolve
 
 # Declared write mode -> Spark mode.
@@ -51,6 +54,65 @@ def _beside(path: str) -> str:
     return f"{path.rstrip('/')}-merged-{uuid.uuid4().hex}"
 
 
+MANIFEST, VERSION = "_manifest", "v="
+
+
+def _plain(paths: Iterable[str]) -> list[str]:
+    """File names without URL escapes and an empty authority, so that names from different sources agree."""
+    return [re.sub(r"^(\w+):/{3}(?=[^/])", r"\1:/", unquote(p)) for p in paths]
+
+
+def _current(spark: SparkSession, target: str) -> tuple[int, list[str]]:
+    """Number of the newest complete manifest (0: none yet) and the files that make up the table."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{MANIFEST}/{VERSION}*/_SUCCESS")
+    store_of = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [f.getPath().getParent().getName() for f in store_of.globStatus(place) or []]
+    version = max((int(name.removeprefix(VERSION)) for name in done), default=0)
+    if version:
+        rows = spark.read.parquet(f"{target}/{MANIFEST}/{VERSION}{version}").collect()
+        return version, [r["path"] for r in rows]
+    return 0, _plain(spark.read.parquet(target).inputFiles())
+
+
+def read_merged(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
+    """A folder as its newest manifest has it, or an earlier one; without a manifest, the whole folder."""
+    if version is None:
+        version, files = _current(spark, target)
+    elif version:
+        files = [r["path"] for r in spark.read.parquet(f"{target}/{MANIFEST}/{VERSION}{version}").collect()]
+    return spark.read.parquet(*files) if version else spark.read.parquet(target)
+
+
+def merge_files(spark: SparkSession, target: str, updates: DataFrame, keys: list[str]) -> int:
+    """Upsert into a Parquet folder that writes only the files holding an updated key, and new keys; returns the version.
+
+    One scan of the key columns names these files.  Their merged rows go to new files below the target, and a manifest
+    lists them with all others, which stay as they are.  ``read_merged`` follows the newest manifest; plain readers of
+    the folder go on seeing what it held before.  The manifest is written last, so a lost merge changes nothing, and of
+    two merges that began at one version the second fails.  The driver handles file names, as any Spark reader does, but
+    no rows.  Folders that are partitioned by column values are refused.
+    """
+    version, files = _current(spark, target)
+    if any("=" in f.removesuffix(f.rpartition("/")[2]).rpartition(target.rstrip("/"))[2] for f in files):
+        raise ValueError(f"{target} is partitioned by column values")
+    given = store(updates, "updates")
+    master = spark.read.parquet(*files) if version else spark.read.parquet(target)
+    names = [f"_key_{i}" for i in range(len(keys))]
+    wanted = given.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    found = master.select(*keys, F.col("_metadata.file_path").alias("_file")).join(wanted, same, "left_semi")
+    touched = set(_plain(r["_file"] for r in found.select("_file").distinct().collect()))
+    if not touched <= set(files):
+        raise RuntimeError(f"files of {target} that its manifest does not list: {sorted(touched - set(files))[:3]}")
+    held = spark.read.schema(master.schema).parquet(*sorted(touched)) if touched else spark.createDataFrame([], master.schema)
+    out = f"{target.rstrip('/')}/_merged/{uuid.uuid4().hex}"
+    merge_upsert(held, given, keys).select(*master.columns).write.parquet(out)
+    new = _plain(spark.read.schema(master.schema).parquet(out).inputFiles())
+    listed = spark.createDataFrame([(f,) for f in [*(f for f in files if f not in touched), *new]], "path string")
+    listed.coalesce(1).write.mode("errorifexists").parquet(f"{target}/{MANIFEST}/{VERSION}{version + 1}")
+    return version + 1
+
+
 def merge_table(spark: SparkSession, name: str, updates: DataFrame, keys: list[str],
                 row_level: bool = False) -> None:
     """Upsert into a catalog table.

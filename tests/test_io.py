@@ -179,3 +179,38 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(session)
+
+
+def test_a_merge_writes_only_the_files_it_touches(spark, tmp_path, collected):
+    from hashlib import sha256
+
+    path, rows = tmp_path / "with space", [(i, f"v{i}") for i in range(1000)]
+    spark.createDataFrame([*rows, (None, "none")], "id int, v string").repartitionByRange(8, "id").write.parquet(str(path))
+
+    def files():
+        return {str(f): sha256(f.read_bytes()).hexdigest() for f in path.rglob("part-*.parquet")}
+
+    before, asis = files(), collected(spark.read.parquet(str(path)))
+    some = spark.createDataFrame([(5, "five"), (7, None), (None, "NULL")], "id int, v string")
+    assert sinks.merge_files(spark, str(path), some, ["id"]) == 1
+    assert before.items() <= files().items()
+    listed = {r["path"] for r in spark.read.parquet(str(path / "_manifest" / "v=1")).collect()}
+    assert len([f for f in before if "file:" + f in listed]) == len(before) - 1  # keys 5, 7 and NULL are in the first file
+    want = {**dict(rows), 5: "five", 7: None, None: "NULL"}
+    assert dict(collected(sinks.read_merged(spark, str(path)))) == want
+    assert sinks.merge_files(spark, str(path), spark.createDataFrame([(5000, "new")], "id int, v string"), ["id"]) == 2
+    assert dict(collected(sinks.read_merged(spark, str(path)))) == {**want, 5000: "new"}
+    assert dict(collected(sinks.read_merged(spark, str(path), 1))) == want
+    assert collected(sinks.read_merged(spark, str(path), 0)) == asis == collected(spark.read.parquet(str(path)))
+
+
+def test_a_merge_of_files_refuses_partitioned_folders_and_repeated_updates(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    rows.write.partitionBy("v").parquet(str(tmp_path / "cut"))
+    with pytest.raises(ValueError):
+        sinks.merge_files(spark, str(tmp_path / "cut"), rows, ["id"])
+    rows.write.parquet(str(tmp_path / "whole"))
+    with pytest.raises(Exception, match="more than once"):
+        sinks.merge_files(spark, str(tmp_path / "whole"), rows.union(rows), ["id"])
+    assert sinks.merge_files(spark, str(tmp_path / "whole"), rows.limit(0), ["id"]) == 1
+    assert sinks.read_merged(spark, str(tmp_path / "whole")).count() == 2
