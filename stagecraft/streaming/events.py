@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stagecraft.operators.cells import width_cells
@@ -22,6 +23,10 @@ MAX_RETRIES = 3
 PASS_SCORE = 90
 LEVELS = ("info", "success", "warning", "error")
 TERMINAL = ("done", "error")
+# What a reviewer may decide, which of it lets a job go on, and a classification without details.
+DECISIONS = ("proceed", "comment", "stop")
+GO_ON = ("proceed", "comment")
+COMPLEXITY, CONFIDENCE = "Medium", 85
 
 WATERMARK = "10 minutes"
 
@@ -43,6 +48,16 @@ def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts) / F.lit(1_000_000)
 
 
+def with_processor(stream: DataFrame, processor: StatefulProcessor, keys: list[str], schema, mode: str) -> DataFrame:
+    """A keyed processor with event-time timers.  Its map and list state needs the RocksDB store, which also keeps
+    state on disk instead of in the executors' heap."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, mode, "EventTime")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 # --- stage durations -------------------------------------------------------------------------
 
 def stage_durations(events: DataFrame) -> DataFrame:
@@ -152,6 +167,142 @@ def job_state(events: DataFrame) -> DataFrame:
     )
 
 
+# --- job progress: the effects of classifications and decisions ------------------------------------
+
+FACT = "job_id bigint, ts timestamp, fact string, event_id bigint, text string, number double, n bigint"
+
+
+def _facts(events: DataFrame) -> DataFrame:
+    """What an event says about its job: rows (job_id, ts, fact, event_id, text, number, n).
+
+    A job's state is the newest row and the count of each fact, so facts combine in any order and in any split.
+    """
+    kind = F.col("event")
+    decided = (kind == "decision") & F.col("status").isin(*DECISIONS)
+    moved = kind.isin("validation_review", "completed", "failed")
+
+    def fact(when: Column, name: str, text=None, number=None) -> Column:
+        return F.when(when, F.struct(
+            F.lit(name).alias("fact"), (F.lit(None) if text is None else text).cast("string").alias("text"),
+            (F.lit(None) if number is None else number).cast("double").alias("number")))
+
+    said = F.array_compact(F.array(
+        fact(F.lit(True), "any"),
+        fact((kind == "stage") & (F.col("status") == "active"), "stage", F.col("stage_id")),
+        fact(kind == "classification", "classification", F.coalesce(F.nullif("level", F.lit("")), F.lit(COMPLEXITY)),
+             F.coalesce(F.nullif(F.col("score").cast("double"), F.lit(0.0)), F.lit(CONFIDENCE))),
+        fact(kind == "human_review", "human_review"),
+        fact(decided, "decision", F.col("status")),
+        fact(moved | decided, "move", F.when(moved, kind).when(F.col("status") == "stop", "failed").otherwise("processing")),
+        fact(kind == "log", "log"), fact(kind == "failed", "failed"),
+    ))
+    return events.where("ts IS NOT NULL").select("job_id", "ts", F.coalesce("event_id", F.lit(-1)).cast("bigint").alias("event_id"), F.explode(said).alias("f")).select(
+        "job_id", "ts", "f.fact", "event_id", "f.text", "f.number", F.lit(1).cast("bigint").alias("n"))
+
+
+PROGRESS_SCHEMA = ("job_id bigint, status string, current_stage string, decision string, complexity string, confidence double, "
+                   "logs bigint, failures bigint, updated_at timestamp")
+
+
+def job_progress(events: DataFrame) -> DataFrame:
+    """Batch: state of each job after all of its events.
+
+    ``human_review`` waits for a reviewer unless the decision in force lets the job go on (``proceed``, ``comment``);
+    otherwise it also withdraws that decision.  A decision puts the job back to work, ``stop`` fails it, any other word
+    is no decision.  ``classification`` sets complexity (``level``) and confidence (``score``).  Events without a time say
+    nothing; of equal times the greater event_id is later.
+
+    No order within a job is needed.  Reviews before the last decision are outdone by it, and those after it count only
+    if that decision is a stop or there is none: the status is the newest of two facts.  So the fold is one mergeable
+    aggregate, whatever share of the events one job has.
+    """
+    order = F.struct("ts", "event_id")
+
+    def newest(name: str, value) -> Column:
+        return F.max_by(value, F.when(F.col("fact") == name, order)).alias(name + ("_at" if isinstance(value, Column) else ""))
+
+    def count(name: str) -> Column:
+        return F.sum(F.when(F.col("fact") == name, F.col("n")).otherwise(0)).alias(f"n_{name}")
+
+    last = _facts(events).groupBy("job_id").agg(
+        newest("stage", "text"), newest("classification", "text"), newest("decision", "text"), newest("move", "text"),
+        newest("decision", order), newest("move", order), newest("human_review", order),
+        F.max_by("number", F.when(F.col("fact") == "classification", order)).alias("confidence"),
+        count("log"), count("failed"), F.max("ts").alias("updated_at"),
+    )
+    halts = F.col("human_review_at").isNotNull() & ~F.coalesce(F.col("decision").isin(*GO_ON), F.lit(False))
+    waits = halts & (F.col("move_at").isNull() | (F.col("human_review_at") > F.col("move_at")))
+    withdrawn = halts & (F.col("decision_at") < F.col("human_review_at"))
+    return last.select(
+        "job_id", F.when(waits, "human_review").otherwise(F.coalesce("move", F.lit("processing"))).alias("status"),
+        F.col("stage").alias("current_stage"), F.when(~F.coalesce(withdrawn, F.lit(False)), F.col("decision")).alias("decision"),
+        F.col("classification").alias("complexity"), "confidence", F.col("n_log").alias("logs"), F.col("n_failed").alias("failures"), "updated_at",
+    )
+
+
+def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Facts of one Arrow batch, one row per (job, fact): what a task sends to the keyed state."""
+    for pdf in batches:
+        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+        pdf["n"] = pdf.groupby(["job_id", "fact"], dropna=False)["n"].transform("sum")
+        yield pdf.drop_duplicates(["job_id", "fact"], keep="last")
+
+
+class JobProgress(StatefulProcessor):
+    """Newest row and count of each fact of a job, one state row per fact; closed after ``idle_ms`` without events."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getMapState("facts", "fact string", "at bigint, id bigint, text string, number double, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = {k[0]: tuple(v) for k, v in self.facts.iterator()}
+        before, changed = held.get("any"), set()
+        for pdf in rows:
+            for f, at, i, text, number, n in zip(pdf["fact"], pdf["micros"], pdf["event_id"], pdf["text"], pdf["number"], pdf["n"]):
+                new = (int(at), int(i), None if pd.isna(text) else text, None if pd.isna(number) else float(number), int(n))
+                old = held.get(f)
+                held[f] = new if old is None else (*max(old, new, key=lambda x: x[:2])[:4], old[4] + new[4])
+                changed.add(f)
+        for f in changed:
+            self.facts.updateValue((f,), held[f])
+        if before:
+            self.handle.deleteTimer(self._closes(before))
+        self.handle.registerTimer(max(self._closes(held["any"]), timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame([self._state(key[0], held)], columns=[x.split()[0] for x in PROGRESS_SCHEMA.split(", ")])
+
+    def _closes(self, newest: tuple) -> int:
+        return newest[0] // 1000 + self.idle_ms
+
+    def _state(self, job, held: dict) -> tuple:
+        none = (None,) * 4 + (0,)
+        review, decision, move, kind = (held.get(f, none) for f in ("human_review", "decision", "move", "classification"))
+        halts = review[0] is not None and decision[2] not in GO_ON
+        waits = halts and (move[0] is None or review[:2] > move[:2])
+        withdrawn = halts and decision[0] is not None and review[:2] > decision[:2]
+        return (job, "human_review" if waits else move[2] or "processing", held.get("stage", none)[2], None if withdrawn else decision[2],
+                kind[2], kind[3], held.get("log", none)[4], held.get("failed", none)[4], pd.Timestamp(held["any"][0], unit="us", tz="UTC"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest = self.facts.getValue(("any",))
+        if newest is None or self._closes(tuple(newest)) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.facts.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def job_progress_stream(events: DataFrame, idle_ms: int = IDLE_MS, delay: str = WATERMARK) -> DataFrame:
+    """Stream: the same, updated by every trigger.  Tasks combine their facts before the shuffle, a job's state is one row
+    per fact, and it ends when the watermark is ``idle_ms`` past the job's last event: later events begin the job anew."""
+    facts = _facts(events).mapInPandas(_combine, FACT).withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts"))
+    return with_processor(facts, JobProgress(idle_ms), ["job_id"], PROGRESS_SCHEMA, "Update")
+
+
 # --- reviews ---------------------------------------------------------------------------------
 
 def _spread(marks: DataFrame, wait: int, cell_seconds: int) -> Column:
@@ -196,48 +347,70 @@ def review_outcomes(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds:
 REVIEW_SCHEMA = "request_id bigint, job_id bigint, requested_at timestamp, decided_at timestamp, outcome string"
 
 
-def review_outcomes_stream(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds: int = 300) -> DataFrame:
-    """Stream: the same.  A (job, cell) gathers its requests and the decisions they may wait for,
-    and answers once the watermark has passed the last possible decision (append mode).
+class ReviewWaits(StatefulProcessor):
+    """The requests of a (job, cell) and the decisions they may wait for, as state rows of at most ``chunk`` marks.
+
+    However many marks a cell gets, no state row grows with them; they are answered a row at a time, against the sorted
+    times of the cell's decisions, when the watermark has passed the last decision that counts.
+    """
+
+    def __init__(self, wait: int, cell_seconds: int, chunk: int):
+        self.wait, self.cell_seconds, self.chunk = wait, cell_seconds, chunk
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.requests = handle.getMapState("requests", "place bigint", "ids array<bigint>, at array<bigint>")
+        self.decisions = handle.getMapState("decisions", "place bigint", "at array<bigint>")
+        self.rows = handle.getValueState("rows", "requests bigint, decisions bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        asked, decided = self.rows.get() if self.rows.exists() else (0, 0)
+        for pdf in rows:
+            is_decision, at = pdf["is_decision"].to_numpy(dtype=bool), pdf["micros"].to_numpy()
+            times, ids, waits = np.unique(at[is_decision]), pdf["event_id"].to_numpy()[~is_decision], at[~is_decision]
+            for i in range(0, times.size, self.chunk):
+                self.decisions.updateValue((decided,), (times[i:i + self.chunk].tolist(),))
+                decided += 1
+            for i in range(0, waits.size, self.chunk):
+                self.requests.updateValue((asked,), (ids[i:i + self.chunk].tolist(), waits[i:i + self.chunk].tolist()))
+                asked += 1
+        self.rows.update((asked, decided))
+        closes = ((int(key[1]) + 1) * self.cell_seconds + self.wait) * 1000
+        self.handle.registerTimer(max(closes, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = [np.array(v[0], dtype=np.int64) for v in self.decisions.values()]
+        known = np.unique(np.concatenate(known)) if known else np.array([], dtype=np.int64)
+        for ids, asked in self.requests.values():
+            at = np.array(asked, dtype=np.int64)
+            place = np.searchsorted(known, at, side="left")
+            found = np.append(known, np.iinfo(np.int64).max)[place]
+            in_time = (place < known.size) & (found - at <= self.wait * 1_000_000)
+            yield pd.DataFrame({
+                "request_id": list(ids), "job_id": key[0], "requested_at": pd.to_datetime(at, unit="us", utc=True),
+                "decided_at": pd.to_datetime(pd.Series(found).where(pd.Series(in_time)).astype("Int64"), unit="us", utc=True),
+                "outcome": np.where(in_time, "decided", "timeout"),
+            })
+        for state in (self.requests, self.decisions, self.rows):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
 
-    Sorted search instead of pairs; a busy job is spread over its cells, and a cell's state is
-    gone when it has answered.
+def review_outcomes_stream(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds: int = 300, chunk: int = 1000) -> DataFrame:
+    """Stream: the same, in append mode, once the watermark has passed the last possible decision.
+
+    Sorted search instead of pairs; a busy job is spread over its cells, a cell over state rows of ``chunk`` marks, and a
+    cell's state is gone when it has answered.
     """
     marks = _marks(events.withWatermark("ts", WATERMARK))
     spread = marks.select(
         "event_id", "job_id", "is_decision", "ts", F.unix_micros("ts").alias("micros"),
         F.explode(_spread(marks, wait, cell_seconds)).alias("cell"),
     )
-
-    def answer(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, asked, decided = state.get if state.exists else ([], [], [])
-        ids, asked, decided = ([int(v) for v in x] for x in (ids, asked, decided))
-        if state.hasTimedOut:
-            state.remove()
-            at, known = np.array(asked, dtype=np.int64), np.sort(np.array(decided, dtype=np.int64))
-            place = np.searchsorted(known, at, side="left")
-            found = np.append(known, np.iinfo(np.int64).max)[place]
-            in_time = (place < known.size) & (found - at <= wait * 1_000_000)
-            if at.size:
-                yield pd.DataFrame({
-                    "request_id": ids, "job_id": key[0], "requested_at": pd.to_datetime(at, unit="us", utc=True),
-                    "decided_at": pd.to_datetime(pd.Series(found).where(pd.Series(in_time)).astype("Int64"), unit="us", utc=True),
-                    "outcome": np.where(in_time, "decided", "timeout"),
-                })
-            return
-        for pdf in batches:
-            is_decision = pdf["is_decision"].to_numpy(dtype=bool)
-            decided += pdf["micros"].to_numpy()[is_decision].tolist()
-            ids += pdf["event_id"].to_numpy()[~is_decision].tolist()
-            asked += pdf["micros"].to_numpy()[~is_decision].tolist()
-        state.update((ids, asked, decided))
-        closes = ((int(key[1]) + 1) * cell_seconds + wait) * 1000
-        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
-
-    return spread.groupBy("job_id", "cell").applyInPandasWithState(
-        answer, REVIEW_SCHEMA, "ids array<bigint>, asked array<bigint>, decided array<bigint>",
-        "append", GroupStateTimeout.EventTimeTimeout,
-    )
+    return with_processor(spread, ReviewWaits(wait, cell_seconds, chunk), ["job_id", "cell"], REVIEW_SCHEMA, "Append")
 
 
 # --- retries ---------------------------------------------------------------------------------
@@ -262,6 +435,65 @@ def retry_outcomes(attempts: DataFrame, retries: int = MAX_RETRIES, passing: flo
     )
 
 
+class RetryLoop(StatefulProcessor):
+    """The first attempts of a job, at most ``retries + 1`` and none after a passing one, in one state row."""
+
+    def __init__(self, retries: int, passing: float, idle_ms: int):
+        self.retries, self.passing, self.idle_ms = retries, passing, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tries = handle.getValueState("tries", "at array<bigint>, ids array<bigint>, scores array<double>, closes bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tries, closes, held = [], 0, None
+        if self.tries.exists():
+            at, ids, scores, closes = self.tries.get()
+            held = tries = list(zip(at, ids, scores))
+            self.handle.deleteTimer(closes)
+        for pdf in rows:
+            new = zip(pdf["micros"].tolist(), pdf["event_id"].tolist(), pdf["score"].tolist())
+            tries = tries + [(t, i, None if pd.isna(v) else float(v)) for t, i, v in new]
+            closes = max(closes, int(pdf["micros"].max()) // 1000 + self.idle_ms)
+        tries = sorted(tries, key=lambda x: x[:2])[: self.retries + 1]
+        passed = next((n for n, x in enumerate(tries, 1) if x[2] is not None and x[2] >= self.passing), None)
+        tries = tries[:passed]
+        closes = max(closes, timerValues.getCurrentWatermarkInMs() + 1)
+        self.tries.update(tuple([x[i] for x in tries] for i in range(3)) + (closes,))
+        self.handle.registerTimer(closes)
+        if tries != held:
+            outcome = "passed" if passed else "retries_exhausted" if len(tries) > self.retries else "open"
+            yield pd.DataFrame({"job_id": [key[0]], "attempt": [len(tries)], "score": [tries[-1][2]], "outcome": [outcome]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.tries.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def retry_outcomes_stream(attempts: DataFrame, retries: int = MAX_RETRIES, passing: float = PASS_SCORE,
+                          idle_ms: int = IDLE_MS, delay: str = WATERMARK) -> DataFrame:
+    """Stream: the same, updated when it changes.
+
+    Only a job's first attempts decide, so a task sends at most ``retries + 1`` rows of a job per Arrow batch to the state
+    and the state keeps no more, in whatever order they come.  A job is forgotten when the watermark is ``idle_ms`` past
+    its last attempt; an attempt after that begins a new loop.
+    """
+    score = attempts.schema["score"].dataType
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.sort_values(["ts", "event_id"], kind="stable").groupby("job_id", dropna=False).head(retries + 1)
+
+    rows = attempts.where("ts IS NOT NULL").select("job_id", "ts", F.coalesce("event_id", F.lit(-1)).cast("bigint").alias("event_id"), F.col("score").cast("double").alias("score"))
+    cut = rows.mapInPandas(first, rows.schema).withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts"))
+    schema = T.StructType([attempts.schema["job_id"], *T.StructType.fromDDL("attempt int, score double, outcome string").fields])
+    out = with_processor(cut, RetryLoop(retries, passing, idle_ms), ["job_id"], schema, "Update")
+    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")).cast(score))
+
+
 # --- log levels ------------------------------------------------------------------------------
 
 def log_levels(events: DataFrame, width: str = "1 hour") -> DataFrame:

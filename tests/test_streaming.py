@@ -71,6 +71,85 @@ def test_job_state(arriving, collected):
     assert {r["job_id"]: r["status"] for r in out.collect()} == {1: "failed", 2: "processing"}
 
 
+HOUR = 3600
+
+
+def review(i, seconds, word=None, **more):
+    return event(i, seconds, kind="decision" if word else "human_review", status=word, **more)
+
+
+PROGRESS = [
+    [review(1, 0), review(2, 10, "proceed"), review(3, 20), event(4, 21, kind="log"),
+     review(5, 0, job=2), review(6, 5, "stop", job=2), review(7, 0, job=3), review(8, 5, "later", job=3),
+     event(9, 1, job=4, kind="classification", level="", score=0), event(10, 0, job=6, kind="stage", stage="A", status="active")],
+    [review(11, 30, job=2), event(12, 9, job=4, kind="classification", level="High", score=70),
+     review(13, 50, "stop", job=5), review(14, 40, "proceed", job=5), event(15, 60, job=5, kind="log"),
+     event(16, 10, job=6, kind="completed"), review(17, 10, job=6)],
+]
+
+
+def test_job_progress(arriving, collected):
+    stream, batch = arriving(*PROGRESS)
+    want = {r["job_id"]: r for r in ev.job_progress(batch).collect()}
+    assert {j: (r["status"], r["decision"]) for j, r in want.items()} == {
+        1: ("processing", "proceed"), 2: ("human_review", None), 3: ("human_review", None), 4: ("processing", None),
+        5: ("failed", "stop"), 6: ("human_review", None)}
+    assert (want[4]["complexity"], want[4]["confidence"]) == ("High", 70.0)
+    assert (want[1]["logs"], want[6]["current_stage"]) == (1, "A")
+    out = drain.drain_updates(ev.job_progress_stream(stream), ["job_id"])
+    assert collected(out.withColumn("confidence", F.when(~F.isnan("confidence"), F.col("confidence")))) == collected(ev.job_progress(batch))
+
+
+def test_a_classification_without_details(spark):
+    only = spark.createDataFrame([event(1, 0, kind="classification")], SCHEMA)
+    assert ev.job_progress(only).select("complexity", "confidence").first() == ("Medium", 85.0)
+    assert ev.job_progress(only.limit(0)).count() == 0
+
+
+def state_rows(stream, path, mode):
+    """Drain a stream and return the state rows of its last trigger."""
+    query = (stream.writeStream.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("append").parquet(path + "/out"))
+             .option("checkpointLocation", path + "/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1]
+
+
+def test_state_ends(spark, arriving, tmp_path):
+    after = [event(90, 40 * HOUR, job=9), event(91, 60 * HOUR, job=8), event(92, 70 * HOUR, job=8), event(93, 71 * HOUR, job=9), event(94, 71 * HOUR, job=9)]
+    stream, _ = arriving(PROGRESS[0], *[[e] for e in after])
+    kept = state_rows(ev.job_progress_stream(stream, idle_ms=HOUR * 1000), str(tmp_path / "a"), "update")
+    assert kept == 4  # any and log of jobs 8 and 9
+    rows = spark.read.parquet(str(tmp_path / "a/out"))
+    assert rows.where("job_id = 9").agg(F.max("logs")).first()[0] == 2  # closed after 41 hours, begun anew at 71
+
+
+def test_waits_keep_rows_of_bounded_size(spark, arriving, tmp_path, collected):
+    asked = [event(i, i % 290, kind="human_review") for i in range(2500)]
+    decided = [event(10_000 + i, 3 * i, kind="decision") for i in range(60)]
+    marker = [[event(20_000 + i, (50 + i) * HOUR, job=7, kind="decision")] for i in range(3)]
+    stream, batch = arriving(asked[:1700], decided, asked[1700:], *marker)
+    out = drain.drain_append(ev.review_outcomes_stream(stream, chunk=100))
+    want = ev.review_outcomes(batch)
+    assert collected(out) == collected(want) and want.count() == 2500
+    assert {r["outcome"] for r in want.select("outcome").distinct().collect()} == {"decided", "timeout"}
+
+
+def test_retries_in_the_stream(arriving, collected):
+    tries = {1: [50, 95, 20], 2: [1, 2, 3, 4, 99], 3: [1, 2, 3, 90], 4: [10, None], 5: [91]}
+    rows = [event(10 * j + i, 60 * i, job=j, kind="validation_review", score=v) for j, scores in tries.items() for i, v in enumerate(scores)]
+    late_first = rows[::-2], rows[-2::-2]
+    stream, batch = arriving(*[list(f) for f in late_first])
+    out = drain.drain_updates(ev.retry_outcomes_stream(stream), ["job_id"])
+    assert collected(out) == collected(ev.retry_outcomes(batch))
+    assert {r["job_id"]: (r["attempt"], r["outcome"]) for r in out.collect()} == {
+        1: (2, "passed"), 2: (4, "retries_exhausted"), 3: (4, "passed"), 4: (2, "open"), 5: (1, "passed")}
+
+
+def test_a_job_is_forgotten(spark, arriving, tmp_path):
+    stream, _ = arriving([event(1, 0, kind="validation_review", score=95)], *[[event(9 + i, (i + 2) * HOUR, job=2, kind="validation_review", score=1)] for i in range(3)])
+    assert state_rows(ev.retry_outcomes_stream(stream, idle_ms=HOUR * 1000 // 2), str(tmp_path / "a"), "update") <= 2
+
+
 def test_log_levels_over_batches(arriving, collected):
     stream, batch = arriving([event(i, i * 600, level="info") for i in range(8)], [event(9, 4000, level="error")])
     out = drain.drain_updates(ev.log_levels(stream), ["window_start", "level"])
