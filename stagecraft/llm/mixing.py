@@ -79,8 +79,10 @@ def apportion(df: DataFrame, key: str, votes: str, seats: str, group: str | None
         "quotient", F.col(votes) / (2 * F.col("seat") - 1))
     order = [F.col("quotient").desc(), F.col(key).asc(), F.col("seat").asc()]
     if by:
-        won = listed.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).join(
-            sized.groupBy(*by).agg(given), by)
+        # Ranked over the whole table, group after group: a group with very many voters is cut into ranges.
+        ranked = store(running(listed, [F.col(group).asc(), *order]), "seats")
+        first = ranked.groupBy(*by).agg(F.min("rank").alias("first"))
+        won = ranked.join(first.join(sized.groupBy(*by).agg(given), by), by).withColumn("rank", F.col("rank") - F.col("first"))
     else:
         won = running(listed, order).withColumn("open", F.lit(sized.agg(given).first()[0] or 0))
     won = won.where("rank < open").groupBy(*by, key).agg(F.count(F.lit(1)).alias("won"))
