@@ -1,9 +1,15 @@
 """Source options, reads with rejects, write modes, merge and DDL."""
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from stagecraft.sources import connectors, sinks
+from stagecraft.queries import io
+from stagecraft.queries.binding import Catalog
+from stagecraft.queries.registry import Tables
+from stagecraft.sources import connectors, jobxml, sinks
 
 
 def test_known_and_unknown_connectors():
@@ -214,3 +220,32 @@ def test_a_merge_of_files_refuses_partitioned_folders_and_repeated_updates(spark
         sinks.merge_files(spark, str(tmp_path / "whole"), rows.union(rows), ["id"])
     assert sinks.merge_files(spark, str(tmp_path / "whole"), rows.limit(0), ["id"]) == 1
     assert sinks.read_merged(spark, str(tmp_path / "whole")).count() == 2
+
+
+def lines(spark, folder, rows):
+    """A lineitem table of (order, line, part, supplier, quantity) below ``folder``, as the catalog reads it."""
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double").selectExpr(
+        "*", "'N' AS l_returnflag", "'O' AS l_linestatus").write.parquet(f"{folder}/lineitem.parquet")
+    return Tables(spark, str(folder))
+
+
+def test_job_files_are_compressed_and_hold_every_record(spark, tmp_path):
+    """Uncompressed they filled the disk: an element is over a thousand bytes a stage."""
+    t = lines(spark, tmp_path, [(o, n, o * 7 + n, o + n, float(n)) for o in range(40) for n in range(1, 5)])
+    path = io.write_job_files(t, 3)
+    names = [f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]
+    assert names and all(f.endswith(".xml.gz") for f in names)
+    cat = jobxml.catalog(jobxml.read_jobs(spark, path, "*.xml.gz"))
+    assert cat["stages"].count() == 160 and cat["links"].count() == Catalog(t).links.count()
+
+
+def test_stage_records_join_and_group_nothing(spark, tmp_path):
+    t = lines(spark, tmp_path, [(1, 1, 6, 11, 3.0), (1, 2, 13, 5, 2.0), (None, 1, 6, 11, 3.0)])
+    cat = Catalog(t, shared=True)
+    rows = io.stage_records(cat)
+    plan = rows._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    held = {r["job_id"]: r["xml"] for r in rows.where("ord = 1").collect()}
+    wanted = [r["name"] for r in cat.columns.where("job_id = 1 AND stage_id LIKE '%_1'").orderBy("ord").collect()]
+    assert wanted and re.findall(r'"Name">(\w+)</Property><Property name="SqlType"', held[1]) == wanted
+    assert "SqlType" not in held[None]
