@@ -399,11 +399,12 @@ class ReviewWaits(StatefulProcessor):
         pass
 
 
-def review_outcomes_stream(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds: int = 300, chunk: int = 1000) -> DataFrame:
+def review_outcomes_stream(events: DataFrame, wait: int = REVIEW_SECONDS, cell_seconds: int = REVIEW_SECONDS, chunk: int = 1000) -> DataFrame:
     """Stream: the same, in append mode, once the watermark has passed the last possible decision.
 
     Sorted search instead of pairs; a busy job is spread over its cells, a cell over state rows of ``chunk`` marks, and a
     cell's state is gone when it has answered.
+    A cell is as long as the wait: a decision is then held in two cells only, where shorter cells held it in many.
     """
     marks = _marks(events.withWatermark("ts", WATERMARK))
     spread = marks.select(

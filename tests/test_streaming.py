@@ -182,3 +182,12 @@ def test_retries(spark):
     got = ev.retry_outcomes(spark.createDataFrame(rows, "job_id string, ts timestamp, event_id bigint, score int")).collect()
     assert {r["job_id"]: (r["attempt"], r["score"], r["outcome"]) for r in got} == {
         "pass": (2, 95, "passed"), "late": (4, 4, "retries_exhausted"), "fourth": (4, 90, "passed"), "open": (2, 20, "open")}
+
+
+def test_a_decision_is_held_in_two_review_cells(spark):
+    """Each cell is a state of its own; with the cells of 300 seconds a decision was in seven."""
+    import inspect
+
+    width = inspect.signature(ev.review_outcomes_stream).parameters["cell_seconds"].default
+    mark = spark.sql("SELECT TIMESTAMP '2024-01-01 10:10:00' AS ts, true AS is_decision")
+    assert mark.select(F.size(ev._spread(mark, ev.REVIEW_SECONDS, width))).first()[0] == 2
