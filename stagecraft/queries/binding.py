@@ -15,7 +15,7 @@ from stagecraft.catalog.vocab import STAGE_CATEGORIES, column_type_columns, stag
 from stagecraft.sources.connectors import COLUMN_TYPES
 from stagecraft.catalog.gates import ARTIFACTS
 from stagecraft.queries.registry import Tables
-from stagecraft.runtime import store
+from stagecraft.runtime import spread, store
 
 TYPES = [
     *STAGE_CATEGORIES, "PxSurrogateKey", "PxDataSet", "CustomStage", "PxUnheardOf",
@@ -73,11 +73,18 @@ def derivation_fields(pk: Column, i: Column) -> dict[str, Column]:
 
 def below(count: Column, most: int) -> Column:
     """0, 1, ... below ``count``, which is at most ``most``."""
-    return F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda x: x < count)
+    return F.slice(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(1), F.greatest(count, F.lit(0)))
+
+
+def stage_name(sk: Column, number: Column) -> Column:
+    return F.concat(F.when(sk % 9 == 0, "EXCEPTION_OUT_").otherwise("STAGE_"), number.cast("string"))
 
 
 class Catalog:
-    """``shared``: the stage rows feed several tables of one query, so they are stored once."""
+    """``shared``: the stages feed several tables of one query, so their numbers are stored once.
+
+    Names, texts and properties follow from the numbers, and a reader makes those it needs itself.
+    """
 
     def __init__(self, t: Tables, shared: bool = False) -> None:
         self.t = t
@@ -85,13 +92,15 @@ class Catalog:
 
     @cached_property
     def base(self) -> DataFrame:
-        return self.t.lineitem.groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("ord")).agg(
+        spread(self.t.spark, self.t.folder, "lineitem")
+        rows = self.t.lineitem.groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("ord")).agg(
             F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"),
             F.min("l_quantity").cast("bigint").alias("q"),
             # Numbers, not texts: these aggregate by hash.
             F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"),
             F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("is_open"),
         )
+        return store(rows, "stages") if self.shared else rows
 
     @cached_property
     def staged(self) -> DataFrame:
@@ -113,21 +122,19 @@ class Catalog:
             "Aggregations": F.when(st == "PxAggregate", pick(AGGS, q % 3)),
             "Notes": F.when(q == 17, F.lit("Slowly Changing load")),
         }
-        props = F.map_from_entries(F.filter(
-            F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in entries.items()]),
-            lambda e: e["v"].isNotNull(),
-        ))
-        rows = (
+        # Both lists without their gaps; as joined lists they are compiled, other than a filter with a lambda.
+        one_or_none = lambda v, what: F.when(v.isNotNull(), F.array(what)).otherwise(F.array().cast("array<string>"))
+        props = F.map_from_arrays(*[F.flatten(F.array(*parts)) for parts in zip(
+            *[(one_or_none(v, F.lit(k)), one_or_none(v, v)) for k, v in entries.items()])])
+        return (
             self.base.withColumn("stage_type", pick(TYPES, pk % len(TYPES)))
             .select(
-                "*", F.concat(F.when(sk % 9 == 0, "EXCEPTION_OUT_").otherwise("STAGE_"),
-                              F.col("ord").cast("string")).alias("stage_id"),
+                "*", stage_name(sk, F.col("ord")).alias("stage_id"),
                 stage_category(st).alias("category"), F.when(q % 2 == 0, "").otherwise("Loads data").alias("description"),
                 (pk % 3).cast("int").alias("input_pins"), (sk % 4).cast("int").alias("output_pins"),
                 props.alias("props"),
             )
         )
-        return store(rows, "stages") if self.shared else rows
 
     @cached_property
     def stages(self) -> DataFrame:
@@ -136,17 +143,16 @@ class Catalog:
 
     @cached_property
     def links(self) -> DataFrame:
-        """To the next line, and from a branching stage also to the second next: one equi-join."""
+        """To the next line, and from a branching stage also to the second next: one equi-join of numbers."""
         steps = F.array_compact(F.array(
-            F.when(F.col("returned") == 0, F.lit(1)), F.when(F.col("output_pins") > 1, F.lit(2))
+            F.when(F.col("returned") == 0, F.lit(1)), F.when(F.col("sk") % 4 > 1, F.lit(2))
         ))
-        wanted = self.staged.select(
-            "job_id", F.col("stage_id").alias("from_stage"), "ord", F.explode(steps).alias("step"),
-        ).select("*", (F.col("ord") + F.col("step")).alias("to_ord"))
-        to = self.staged.select("job_id", F.col("ord").alias("to_ord"), F.col("stage_id").alias("to_stage"))
+        wanted = self.base.select("job_id", "ord", "sk", F.explode(steps).alias("step")).withColumn("to_ord", F.col("ord") + F.col("step"))
+        to = self.base.select("job_id", F.col("ord").alias("to_ord"), F.col("sk").alias("to_sk"))
         return wanted.join(to, ["job_id", "to_ord"]).select(
             "job_id", F.concat(F.lit("L"), F.col("step").cast("string"), F.lit("_"), F.col("ord").cast("string")).alias("link_id"),
-            "from_stage", "to_stage", (F.col("step") - 1).alias("from_pin"), F.lit(0).alias("to_pin"),
+            stage_name(F.col("sk"), F.col("ord")).alias("from_stage"), stage_name(F.col("to_sk"), F.col("to_ord")).alias("to_stage"),
+            (F.col("step") - 1).alias("from_pin"), F.lit(0).alias("to_pin"),
         )
 
     @cached_property

@@ -205,7 +205,7 @@ IMPL_SQL = CATALOG_SQL + """,
     FROM (SELECT job_id, stage_id, count(*) AS n FROM stages GROUP BY ALL) a
     FULL JOIN (SELECT job_id, stage_id, count(*) AS n FROM impl GROUP BY ALL) b ON a.job_id = b.job_id AND a.stage_id = b.stage_id""")
 def qg_stage_match(t: Tables):
-    stages = Catalog(t).stages.select("job_id", "stage_id", "category")
+    stages = Catalog(t, shared=True).stages.select("job_id", "stage_id", "category")
     ids = ["job_id", "stage_id"]
     impl = (
         stages.where("category <> 'passthrough'").select(*ids)
@@ -223,7 +223,7 @@ def qg_stage_match(t: Tables):
     FULL JOIN (SELECT job_id, from_stage, to_stage, count(*) AS n FROM impl_links GROUP BY ALL) b
       ON a.job_id = b.job_id AND a.from_stage = b.from_stage AND a.to_stage = b.to_stage""")
 def qg_link_match(t: Tables):
-    links = Catalog(t).links.select("job_id", "from_stage", "to_stage", "from_pin")
+    links = Catalog(t, shared=True).links.select("job_id", "from_stage", "to_stage", "from_pin")
     ids = ["job_id", "from_stage", "to_stage"]
     impl = links.where("from_pin = 0").select(*ids).unionByName(
         links.where(c("from_stage").startswith("EXCEPTION")).select(*ids))
