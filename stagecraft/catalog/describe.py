@@ -98,30 +98,35 @@ def job_summary(classified: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def derivation_counts(derivations: DataFrame) -> DataFrame:
-    return derivations.groupBy("job_id", "stage_id").agg(F.count(F.lit(1)).alias("derivations"))
+    """(job_id, stage_id, derivations, hashes): how many a stage has, and how many of them use a hash."""
+    hashed = F.lower("expression")
+    return derivations.groupBy("job_id", "stage_id").agg(
+        F.count(F.lit(1)).alias("derivations"),
+        F.count(F.when(hashed.contains("checksum") | hashed.contains("hash"), 1)).alias("hashes"),
+    )
 
 
-def complexity_hints(stages: DataFrame, derivations: DataFrame) -> DataFrame:
-    """(job_id, stage_id, hint, weight).  Stages give up to four hints each in one pass."""
+def complexity_hints(stages: DataFrame, derivations: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(job_id, stage_id, hint, weight).  Stages give up to four hints each in one pass.
+
+    ``counts`` are the ``derivation_counts`` where a caller has them already.
+    """
     dec = "decimal(6,2)"
 
     def hint(cond: Column, name: str, weight: str) -> Column:
         return F.when(cond, F.struct(F.lit(name).alias("hint"), F.lit(weight).cast(dec).alias("weight")))
 
-    text = F.lower(F.to_json("props"))
+    # A name or value holds the mark as a whole: the lines keep them apart.
+    text = F.lower(F.concat_ws("\n", F.map_keys("props"), F.map_values("props")))
     scd = text.contains("scd") | text.contains("slowly changing") | text.contains("eff_end_date")
-    # One aggregate over the derivations gives both the count and the hash uses.
-    hashed = F.lower("expression")
-    uses = derivations.groupBy("job_id", "stage_id").agg(
-        F.count(F.lit(1)).alias("derivations"),
-        F.count(F.when(hashed.contains("checksum") | hashed.contains("hash"), 1)).alias("hashes"),
-    )
-    joined = stages.select("job_id", "stage_id", "stage_type", "props").join(uses, ["job_id", "stage_id"], "left")
+    uses = derivation_counts(derivations) if counts is None else counts
+    # What the properties say is one flag before the join; the properties themselves are not shuffled.
+    joined = stages.select("job_id", "stage_id", "stage_type", scd.alias("scd")).join(uses, ["job_id", "stage_id"], "left")
     fixed = F.array_compact(F.array(
         hint(F.col("stage_type") == "PxLookup", "lookup_join", "0.2"),
         hint(F.col("stage_type").isin("PxChangeCapture", "PxMerge"), "cdc_or_merge", "0.3"),
         hint(F.col("derivations") > 5, "complex_transformer", "0.2"),
-        hint(scd, "scd_type2", "0.4"),
+        hint(F.col("scd"), "scd_type2", "0.4"),
     ))
     per_use = F.array_repeat(
         F.struct(F.lit("hash_computation").alias("hint"), F.lit("0.1").cast(dec).alias("weight")),
@@ -179,7 +184,7 @@ def checklist(normalized: DataFrame, derivations: DataFrame) -> DataFrame:
     def item(cond: Column, name: str, detail: Column) -> Column:
         return F.when(cond, F.struct(F.lit(name).alias("item"), detail.alias("detail")))
 
-    items = F.array_compact(F.array(
+    items = F.array(
         item((F.lower("category") == "source") | (F.col("input_pin_count") == 0), "source", none),
         item((F.lower("category") == "target") | (F.col("output_pin_count") == 0), "sink", none),
         item(F.lower("stage_type").isin(*JOIN_STAGES), "join", F.coalesce("join_type", F.lit("unknown"))),
@@ -187,8 +192,8 @@ def checklist(normalized: DataFrame, derivations: DataFrame) -> DataFrame:
         item(F.lower("stage_id").contains("exception") | F.lower("stage_type").contains("peek"),
              "exception_sink", none),
         item(F.coalesce("sql_query", F.lit("")) != "", "source_sql", F.col("sql_query")),
-    ))
-    staged = normalized.select("job_id", "stage_id", F.explode(items).alias("i")).select(
+    )
+    staged = normalized.select("job_id", "stage_id", F.explode(items).alias("i")).where("i IS NOT NULL").select(
         "job_id", "i.item", "stage_id", "i.detail"
     )
     computed = derivations.where(F.coalesce("output_column", F.lit("")) != "").select(
@@ -200,27 +205,30 @@ def checklist(normalized: DataFrame, derivations: DataFrame) -> DataFrame:
 def structural_diff(expected: DataFrame, declared: DataFrame) -> DataFrame:
     """Checklist against what an implementation declares: missing, extra or wrong.
 
-    Items are identified by job, item and stage; computed columns by their name too.
+    Items are identified by job, item and stage; computed columns by their name too.  Both sides meet in one aggregate;
+    an item with a NULL in its key is equal to no other, so it stays with its side.
     """
     key = F.when(F.col("item") == "computed_column", F.col("detail")).otherwise(F.lit(""))
-
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return (
-            df.withColumn("part", key)
-            .groupBy("job_id", "item", "stage_id", "part")
-            .agg(F.max("detail").alias(f"{mark}_detail"), F.lit(True).alias(f"in_{mark}"))
-        )
-
-    both = side(expected, "source").join(
-        side(declared, "impl"), ["job_id", "item", "stage_id", "part"], "full"
-    )
+    ids = ["job_id", "item", "stage_id", "part"]
+    alone = F.col("job_id").isNull() | F.col("item").isNull() | F.col("stage_id").isNull() | F.col("part").isNull()
+
+    def side(df: DataFrame, impl: int) -> DataFrame:
+        return df.select("job_id", "item", "stage_id", key.alias("part"), "detail").select(
+            *ids, "detail", F.when(alone, impl).alias("side"), F.lit(1 - impl).alias("source"), F.lit(impl).alias("impl"))
+
+    # One shuffle by item; equal details of both sides are one row before the texts are compared.
+    rows = side(expected, 0).unionByName(side(declared, 1)).repartition(*ids, "side").groupBy(*ids, "side", "detail").agg(
+        F.max("source").alias("source"), F.max("impl").alias("impl"))
+    both = rows.groupBy(*ids, "side").agg(
+        F.max("source").alias("source"), F.max("impl").alias("impl"), F.max(F.when(F.col("source") == 1, F.col("detail"))).alias("source_detail"),
+        F.max(F.when(F.col("impl") == 1, F.col("detail"))).alias("impl_detail"))
     verdict = (
-        F.when(F.col("in_impl").isNull(), "missing")
-        .when(F.col("in_source").isNull(), "extra")
+        F.when(F.col("impl") == 0, "missing")
+        .when(F.col("source") == 0, "extra")
         .when(~F.col("source_detail").eqNullSafe(F.col("impl_detail")), "wrong")
         .otherwise("ok")
     )
-    return both.select("job_id", "item", "stage_id", "part", verdict.alias("verdict"))
+    return both.select(*ids, verdict.alias("verdict"))
 
 
 def column_metadata(columns: DataFrame, normalized: DataFrame, derivations: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from stagecraft.catalog import describe, expressions as ex, graph, lineage, scoring, vocab
 from stagecraft.queries.binding import CATALOG_SQL, SPARK_TYPES, SQL_TYPES, Catalog, case_map
 from stagecraft.queries.registry import Tables, query
-from stagecraft.runtime import cut_lineage
+from stagecraft.runtime import cut_lineage, store
 
 c = F.col
 
@@ -202,7 +202,7 @@ def cat_var_name(t: Tables):
 
 
 def _classified(t: Tables) -> tuple[Catalog, DataFrame]:
-    cat = Catalog(t)
+    cat = Catalog(t, shared=True)
     return cat, describe.classify_io(cat.stages, cat.links)
 
 
@@ -246,7 +246,7 @@ def cat_hints(t: Tables):
       UNION SELECT w.job_id, l.to_stage, w.level + 1 FROM walk w JOIN links l ON l.job_id = w.job_id AND l.from_stage = w.stage_id)
     SELECT job_id, stage_id, max(level) AS level FROM walk GROUP BY ALL""")
 def cat_topological_level(t: Tables):
-    cat = Catalog(t)
+    cat = Catalog(t, shared=True)
     return graph.topological_levels(cat.stages, cat.links)
 
 
@@ -262,7 +262,7 @@ def cat_topological_level(t: Tables):
       JOIN walk back ON back.job_id = c.job_id AND back.a = there.b AND back.b = c.a GROUP BY ALL""")
 def cat_cycle_check(t: Tables):
     """The catalog's links plus some that lead back."""
-    cat = Catalog(t)
+    cat = Catalog(t, shared=True)
     loops = cat.staged.where("output_pins = 3 AND is_open = 1").select("job_id", c("stage_id").alias("from_stage"))
     links = cut_lineage(cat.links.select("job_id", "from_stage", "to_stage"))
     back = links.join(loops, ["job_id", "from_stage"], "left_semi").select(
@@ -277,7 +277,7 @@ ORPHANS_SQL = CATALOG_SQL + """,
 
 @query("cat_orphans", ORPHANS_SQL + " SELECT * FROM orphans")
 def cat_orphans(t: Tables):
-    cat = Catalog(t)
+    cat = Catalog(t, shared=True)
     return describe.orphans(cat.stages, cat.links)
 
 
@@ -351,7 +351,7 @@ def cat_checklist(t: Tables):
     FROM a FULL JOIN b ON a.job_id = b.job_id AND a.item = b.item AND a.stage_id = b.stage_id AND a.part = b.part""")
 def cat_structural_diff(t: Tables):
     """Against an implementation with renamed exception sinks, inner for left joins and a lost column."""
-    expected = _checklist(Catalog(t))
+    expected = store(_checklist(Catalog(t, shared=True)), "checklist")
     declared = expected.where("NOT (item = 'computed_column' AND detail = 'D_4')").select(
         "job_id", "item",
         F.when((c("item") == "sink") & c("stage_id").startswith("EXCEPTION"), F.concat("stage_id", F.lit("_B")))
@@ -390,14 +390,14 @@ LINEAGE_SQL = REFS_SQL + r""",
 @query("cat_column_lineage", LINEAGE_SQL + """
     SELECT job_id, from_stage, from_column, stage_id, column_name, edge_type, CAST(confidence AS DOUBLE) AS confidence FROM edges""")
 def cat_column_lineage(t: Tables):
-    cat = Catalog(t)
+    cat = Catalog(t, shared=True)
     return lineage.edges(cat.columns, cat.derivations, cat.stages, cat.links).withColumn(
         "confidence", c("confidence").cast("double"))
 
 
 @query("cat_column_nodes", LINEAGE_SQL + " SELECT * FROM nodes")
 def cat_column_nodes(t: Tables):
-    cat = Catalog(t)
+    cat = Catalog(t, shared=True)
     return lineage.nodes(cat.columns, cat.derivations, cat.stages)
 
 
@@ -411,9 +411,10 @@ def cat_column_nodes(t: Tables):
     FROM walk w JOIN nodes n ON n.job_id = w.job_id AND n.stage_id = w.stage_id AND n.column_name = w.column_name AND n.node_type = 'TargetColumn'
     WHERE hops > 0 GROUP BY ALL""")
 def cat_column_lineage_e2e(t: Tables):
-    cat = Catalog(t)
-    nodes = lineage.nodes(cat.columns, cat.derivations, cat.stages)
-    edges = lineage.edges(cat.columns, cat.derivations, cat.stages, cat.links)
+    cat = Catalog(t, shared=True)
+    held = store(lineage.held_columns(cat.columns, cat.derivations, cat.stages), "held-columns")
+    nodes = lineage.nodes(cat.columns, cat.derivations, cat.stages, held)
+    edges = lineage.edges(cat.columns, cat.derivations, cat.stages, cat.links, held)
     return lineage.end_to_end(nodes, edges).withColumn("confidence", c("confidence").cast("double"))
 
 
@@ -429,5 +430,5 @@ METADATA_SQL = f"""
 
 @query("cat_metadata", CATALOG_SQL + "," + METADATA_SQL + " SELECT * FROM metadata")
 def cat_metadata(t: Tables):
-    cat = Catalog(t)
+    cat = Catalog(t, shared=True)
     return describe.column_metadata(cat.columns, describe.normalize_stages(cat.stages), cat.derivations)
