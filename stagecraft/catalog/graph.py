@@ -66,7 +66,7 @@ def turned(links: DataFrame) -> DataFrame:
 def cycle_components(stages: DataFrame, links: DataFrame) -> DataFrame:
     """(job_id, stage_id, component): the stages on a cycle, each with the least stage of its strongly connected component.
 
-    First the stages before and behind all cycles are peeled off.  Of the rest every stage takes the least name among the
+    First the stages before and behind all cycles are trimmed off.  Of the rest every stage takes the least name among the
     stages that lead to it; the stages from which that least stage can be reached inside its colour are its component.
     They leave, and the remaining ones (between two cycles, or in a component behind another) go through the same again.
     A stage alone is on a cycle only if it is linked to itself.
@@ -74,14 +74,12 @@ def cycle_components(stages: DataFrame, links: DataFrame) -> DataFrame:
     names = ["job_id", "stage_id"]
     links = store(inner_links(stages, links), "links")
     loops = links.where("from_stage = to_stage").select("job_id", F.col("from_stage").alias("stage_id"))
-    edges, left, found = links.where("from_stage <> to_stage"), stages.select(*names).distinct(), []
+    edges, found = links.where("from_stage <> to_stage"), []
     while True:
-        _, behind = peel(left, edges)
-        _, core = peel(behind, turned(edges))
-        core, n = store_counted(core, "cycles", any=F.lit(True))
-        if not n["any"]:
+        edges, some = trimmed(edges)
+        if not some:
             break
-        edges = store(inner_links(core, edges), "links")
+        core = edges.select("job_id", F.col("from_stage").alias("stage_id")).distinct()
         colour = _coloured(core, edges)
         # Inside its colour, the component is what reaches the colour's own stage.
         of = lambda end: colour.select("job_id", F.col("stage_id").alias(end), F.col("colour").alias(f"{end}_colour"))
@@ -90,7 +88,8 @@ def cycle_components(stages: DataFrame, links: DataFrame) -> DataFrame:
         back = leading_to(colour.where("stage_id = colour").select(*names), inside.withColumnsRenamed({"from_stage": "stage_id"}), names, ["job_id", "to_stage"])
         members = store(colour.join(back, names, "left_semi"), "components")
         found.append(members)
-        left = store(core.join(members, names, "left_anti"), "left")
+        for end in ("from_stage", "to_stage"):
+            edges = edges.join(members.select("job_id", F.col("stage_id").alias(end)), ["job_id", end], "left_anti")
     alone = loops.withColumn("colour", F.col("stage_id"))
     if not found:
         return alone.withColumnRenamed("colour", "component")
@@ -100,6 +99,24 @@ def cycle_components(stages: DataFrame, links: DataFrame) -> DataFrame:
     return cyclic.unionByName(alone.join(cyclic, names, "left_anti")).withColumnRenamed("colour", "component")
 
 
+def trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The links, stored, without those before and behind all cycles, and how many are left.
+
+    A round drops the links that come from a stage without inbound links or lead to one without outbound links, so a path
+    is shortened at both ends and a round without a loss is the last.
+    """
+    edges, n = store_counted(edges, "links", any=F.lit(True))
+    while n["any"]:
+        inbound = edges.select("job_id", F.col("to_stage").alias("from_stage"))
+        outbound = edges.select("job_id", F.col("from_stage").alias("to_stage"))
+        before = n["any"]
+        edges, n = store_counted(edges.join(inbound, ["job_id", "from_stage"], "left_semi").join(
+            outbound, ["job_id", "to_stage"], "left_semi"), "links", any=F.lit(True))
+        if n["any"] == before:
+            break
+    return edges, n["any"]
+
+
 def _coloured(stages: DataFrame, edges: DataFrame) -> DataFrame:
     """(job_id, stage_id, colour): the least stage that leads to each, itself included."""
     state = store(stages.select("job_id", "stage_id", F.col("stage_id").alias("colour")), "colours")
