@@ -13,38 +13,50 @@ from stagecraft.runtime import cut_lineage
 
 NODE = ["job_id", "stage_id", "column_name"]
 BARE_NAME = r"^\s*[A-Za-z_]\w*\s*$"
+EDGE_TYPES = ["Aggregation", "Cast", "Derivation", "Filter", "Join", "Lookup", "PassThrough", "Rename"]  # by name
 CAST_CALL = r"^\s*(Char|Str|Num)\("
 
 
-def nodes(columns: DataFrame, derivations: DataFrame, stages: DataFrame) -> DataFrame:
-    """One node per (stage, column), typed by the stage's category."""
+def held_columns(columns: DataFrame, derivations: DataFrame, stages: DataFrame) -> DataFrame:
+    """(job_id, stage_id, column_name, derived, category, staged): each column of a stage once, by one shuffle by stage.
+
+    A column whose stage is not in ``stages`` has ``staged`` NULL; a stage that is there twice has its columns twice.
+    """
     every = (
         columns.select("job_id", "stage_id", F.col("name").alias("column_name"), F.lit(0).alias("d"))
         .unionByName(derivations.select("job_id", "stage_id", F.col("output_column").alias("column_name"),
                                         F.lit(1).alias("d")))
-        .groupBy(*NODE).agg(F.max("d").alias("derived"))
+        .repartition("job_id", "stage_id").groupBy(*NODE).agg(F.max("d").alias("derived"))
     )
+    return every.join(stages.select("job_id", "stage_id", "category", F.lit(True).alias("staged")), ["job_id", "stage_id"], "left")
+
+
+def nodes(columns: DataFrame, derivations: DataFrame, stages: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """One node per (stage, column), typed by the stage's category; ``held``: ``held_columns``, where a caller has them."""
+    every = held_columns(columns, derivations, stages) if held is None else held
     kind = (
         F.when(F.col("category") == "source", "SourceColumn")
         .when(F.col("category") == "target", "TargetColumn")
         .when(F.col("derived") == 1, "DerivedColumn")
         .otherwise("Intermediate")
     )
-    return every.join(stages.select("job_id", "stage_id", "category"), ["job_id", "stage_id"]).select(
-        *NODE, kind.alias("node_type")
-    )
+    return every.where("staged").select(*NODE, kind.alias("node_type"))
 
 
-def _edge_type(category: Column, expression: Column | None) -> Column:
-    kind = (
-        F.when(category == "aggregation", "Aggregation").when(category == "lookup", "Lookup")
-        .when(category == "join", "Join").when(category == "filter", "Filter")
+def _own_type(expression: Column) -> Column:
+    """The place in ``EDGE_TYPES`` of an edge into a stage that is of none of the categories below."""
+    at = EDGE_TYPES.index
+    return (
+        F.when(expression.isNull(), at("PassThrough")).when(expression.rlike(BARE_NAME), at("Rename"))
+        .when(expression.rlike(CAST_CALL), at("Cast")).otherwise(at("Derivation"))
     )
-    if expression is None:
-        return kind.otherwise("PassThrough")
+
+
+def _edge_type(category: Column, own: Column) -> Column:
+    at = EDGE_TYPES.index
     return (
-        kind.when(expression.rlike(BARE_NAME), "Rename").when(expression.rlike(CAST_CALL), "Cast")
-        .otherwise("Derivation")
+        F.when(category == "aggregation", at("Aggregation")).when(category == "lookup", at("Lookup"))
+        .when(category == "join", at("Join")).when(category == "filter", at("Filter")).otherwise(own)
     )
 
 
@@ -57,45 +69,33 @@ def _confidence(expression: Column) -> Column:
     return F.greatest(one - loss, F.lit("0.50").cast("decimal(9,2)")).cast("decimal(4,2)")
 
 
-def edges(columns: DataFrame, derivations: DataFrame, stages: DataFrame, links: DataFrame) -> DataFrame:
+def edges(columns: DataFrame, derivations: DataFrame, stages: DataFrame, links: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Edges from upstream columns to the columns a stage puts out.
 
     A derived column reads the upstream columns its expression names; another column of the stage
-    passes through from the upstream column of the same name.
+    passes through from the upstream column of the same name.  What an expression says of its edges is two numbers before
+    the joins, so no expression is shuffled.
     """
     hops = links.select("job_id", "from_stage", F.col("to_stage").alias("stage_id")).distinct()
-    held = (
-        columns.select("job_id", "stage_id", F.col("name").alias("column_name"))
-        .unionByName(derivations.select("job_id", "stage_id", F.col("output_column").alias("column_name")))
-        .distinct()
-    )
-    derived = derivations.where(F.col("expression").isNotNull()).select(
-        "job_id", "stage_id", F.col("output_column").alias("column_name"), "expression",
+    held = held_columns(columns, derivations, stages) if held is None else held
+    e = F.col("expression")
+    derived = derivations.where(e.isNotNull()).select(
+        "job_id", "stage_id", F.col("output_column").alias("column_name"), _own_type(e).alias("own"), _confidence(e).alias("confidence"),
         F.explode(references("expression")).alias("from_column"),
     )
-    computed = derivations.select("job_id", "stage_id", F.col("output_column").alias("column_name")).distinct()
-    passed = (
-        columns.select("job_id", "stage_id", F.col("name").alias("column_name"))
-        .join(computed, NODE, "left_anti")
-        .withColumn("expression", F.lit(None).cast("string"))
-        .withColumn("from_column", F.col("column_name"))
-    )
+    passed = held.where("derived = 0").select(
+        *NODE, F.lit(EDGE_TYPES.index("PassThrough")).alias("own"), F.lit("1.00").cast("decimal(4,2)").alias("confidence"),
+        F.col("column_name").alias("from_column"))
     wanted = derived.unionByName(passed)
-    upstream = held.withColumnRenamed("stage_id", "from_stage").withColumnRenamed("column_name", "from_column")
-    category = stages.select("job_id", "stage_id", "category")
-    found = (
-        wanted.join(hops, ["job_id", "stage_id"])
-        .join(upstream, ["job_id", "from_stage", "from_column"])
-        .join(category, ["job_id", "stage_id"])
-    )
-    e = F.col("expression")
-    kind = F.when(e.isNull(), _edge_type(F.col("category"), None)).otherwise(_edge_type(F.col("category"), e))
-    return found.select(
-        "job_id", "from_stage", "from_column", "stage_id", "column_name", kind.alias("edge_type"),
-        F.when(e.isNull(), F.lit("1.00").cast("decimal(4,2)")).otherwise(_confidence(e)).alias("confidence"),
-    ).groupBy("job_id", "from_stage", "from_column", "stage_id", "column_name").agg(
-        F.min("edge_type").alias("edge_type"), F.min("confidence").alias("confidence")
-    )
+    upstream = held.select("job_id", F.col("stage_id").alias("from_stage"), F.col("column_name").alias("from_column"))
+    # The stage's category goes along with its links, of which there are fewer than columns.
+    into = hops.join(stages.select("job_id", "stage_id", "category"), ["job_id", "stage_id"])
+    found = wanted.join(into, ["job_id", "stage_id"]).withColumn("kind", _edge_type(F.col("category"), F.col("own"))).drop("category", "own")
+    return found.join(upstream, ["job_id", "from_stage", "from_column"]).groupBy(
+        "job_id", "from_stage", "from_column", "stage_id", "column_name").agg(
+        F.min("kind").alias("kind"), F.min("confidence").alias("confidence")
+    ).select("job_id", "from_stage", "from_column", "stage_id", "column_name",
+             F.element_at(F.array(*[F.lit(x) for x in EDGE_TYPES]), F.col("kind") + 1).alias("edge_type"), "confidence")
 
 
 def end_to_end(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
