@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stagecraft.catalog import describe, expressions, kpi, scoring, validation
+from stagecraft.runtime import store
 
 
 def score(stages: DataFrame, links: DataFrame, derivations: DataFrame) -> dict[str, DataFrame]:
-    classified = describe.classify_io(stages, links)
-    hints = describe.complexity_hints(stages, derivations)
-    factor_rows = scoring.factors(classified, hints, derivations)
+    """The roles of stages and the counts of derivations each feed several parts, so both are stored once, without properties."""
+    classified = store(describe.classify_io(stages.drop("props", "description"), links), "classified")
+    counts = store(describe.derivation_counts(derivations), "derivation-counts")
+    hints = describe.complexity_hints(stages, derivations, counts)
+    factor_rows = scoring.factors(classified, hints, derivations, counts)
     jobs = stages.select("job_id").distinct()
     return {
         "classified": classified, "hints": hints, "factors": factor_rows,
