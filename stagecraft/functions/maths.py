@@ -64,5 +64,19 @@ def checksum(*cols, algorithm: str = "sha2") -> Column:
     return F.sha2(F.concat_ws("|", *texts), 256)
 
 
+def pack_digest(col) -> Column:
+    """A digest text in half its bytes: what its hex digits stand for, after a mark; any other text unchanged, after another."""
+    text = _col(col)
+    return F.when(text.rlike(r"\A([0-9a-f]{2})+\z"), F.concat(F.unhex(F.lit("01")), F.unhex(text))).otherwise(
+        F.concat(F.unhex(F.lit("00")), text.cast("binary")))
+
+
+def unpack_digest(col) -> Column:
+    """The text that ``pack_digest`` was given."""
+    packed = _col(col)
+    rest = F.substring(packed, 2, 0x7FFFFFFF)
+    return F.when(F.substring(packed, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def random(seed: int | None = None) -> Column:
     return F.rand(seed)

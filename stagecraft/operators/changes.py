@@ -87,10 +87,15 @@ def change_capture(before: DataFrame, after: DataFrame, keys: list[str], columns
 
 def single(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     """The same rows, but the plan raises an error where a key occurs twice."""
-    twice = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return df.withColumn("_once", _at_most_one(n, keys, what)).where("_once").drop("_once")
+
+
+def _at_most_one(n: Column, keys: list[str], what: str) -> Column:
+    """True, or an error that names the key where ``n`` rows hold it."""
     message = F.concat(F.lit(f"{what}: key occurs more than once: "),
                        F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys]))
-    return df.withColumn("_once", F.when(twice, F.raise_error(message)).otherwise(F.lit(True))).where("_once").drop("_once")
+    return F.when(n > 1, F.raise_error(message)).otherwise(F.lit(True))
 
 
 def merge_upsert(master: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,10 +186,6 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, keys: list[str], columns: li
     """
     day = F.lit(run_date).cast("date")
     is_current = F.coalesce(F.col("IS_CURRENT_FLAG") == 1, F.lit(False))
-    pairs = _paired(dim.where(is_current), single(snapshot, keys, "snapshot"), keys)
-    same = _struct("b", columns).eqNullSafe(_struct("a", columns))
-    has_old, has_new = F.col("b._in").isNotNull(), F.col("a._in").isNotNull()
-    changed = has_old & has_new & ~same
     others = [c for c in dim.columns if c not in {*keys, *columns, "EFF_START_DATE", "EFF_END_DATE", "IS_CURRENT_FLAG"}]
 
     def version(side: str, start: Column, end: Column, flag: Column, rest: dict[str, Column]) -> Column:
@@ -194,17 +195,24 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, keys: list[str], columns: li
                         flag.cast("int").alias("IS_CURRENT_FLAG"),
                         *[rest.get(c, F.lit(None)).cast(dim.schema[c].dataType).alias(c) for c in others])
 
-    old = version("b", F.col("b.EFF_START_DATE"), F.when(changed, day).otherwise(F.col("b.EFF_END_DATE")),
-                  F.when(changed, 0).otherwise(1), {c: F.col(f"b.{c}") for c in others})
-    new = version("a", day, F.lit(OPEN_END), F.lit(1), defaults or {})
+    # Both images meet in one exchange by key; each row sees the snapshot's row of its key.
+    before = dim.where(is_current).select(*keys, F.struct(*[c for c in dim.columns if c not in keys]).alias("_old"))
+    after = snapshot.select(*keys, F.struct(F.lit(True).alias("_in"), *columns).alias("_new"))
+    mate = Window.partitionBy(*keys)
+    met = before.unionByName(after, allowMissingColumns=True).select(
+        *keys, "_old", F.first("_new", ignorenulls=True).over(mate).alias("_new"),
+        F.count("_old").over(mate).alias("_olds"), F.count("_new").over(mate).alias("_news")).where(_at_most_one(F.col("_news"), keys, "snapshot"))
+    same = _struct("_old", columns).eqNullSafe(_struct("_new", columns))
+    has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    changed = has_old & has_new & ~same
+    old = version("_old", F.col("_old.EFF_START_DATE"), F.when(changed, day).otherwise(F.col("_old.EFF_END_DATE")),
+                  F.when(changed, 0).otherwise(1), {c: F.col(f"_old.{c}") for c in others})
+    new = version("_new", day, F.lit(OPEN_END), F.lit(1), defaults or {})
     versions = F.filter(
         F.array(F.when(has_old, old), F.when(has_new & (~has_old | changed), new)),
         lambda v: v.isNotNull(),
     )
-    loaded = pairs.select(
-        *[F.coalesce(F.col(f"b.{k}"), F.col(f"a.{k}")).alias(k) for k in keys],
-        F.explode(versions).alias("_v"),
-    ).select(*keys, "_v.*")
+    loaded = met.where(has_old | (F.col("_olds") == 0)).select(*keys, F.explode(versions).alias("_v")).select(*keys, "_v.*")
     return dim.where(~is_current).select(*loaded.columns).unionByName(loaded)
 
 

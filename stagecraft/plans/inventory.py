@@ -46,5 +46,12 @@ def reconcile(stock: DataFrame, items: DataFrame, suppliers: DataFrame, run_date
 
 
 def load_dimension(dim: DataFrame, rows: DataFrame, run_date: str) -> DataFrame:
-    """Merge the reconciled snapshot into the type 2 dimension (see ``scd2_merge``)."""
-    return scd2_merge(dim, rows.select(*KEY, *TRACKED), KEY, TRACKED, run_date)
+    """Merge the reconciled snapshot into the type 2 dimension (see ``scd2_merge``).
+
+    Record hashes, most of a row, are shuffled as bytes.
+    """
+    def packed(df: DataFrame) -> DataFrame:
+        return df.withColumns({h: maths.pack_digest(h) for h in TRACKED})
+
+    loaded = scd2_merge(packed(dim), packed(rows.select(*KEY, *TRACKED)), KEY, TRACKED, run_date)
+    return loaded.withColumns({h: maths.unpack_digest(h) for h in TRACKED})

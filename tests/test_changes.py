@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from stagecraft.functions import maths
 from stagecraft.operators import changes, quality
 
 OLD = ([(1, "a", 1), (2, "b", None), (3, "c", 3)], "id int, name string, v int")
@@ -132,3 +133,22 @@ def test_two_updates_of_one_key_are_an_error(rows):
     master, twice = rows([(1, "x")], "k int, v string"), rows([(1, "y"), (1, "z")], "k int, v string")
     with pytest.raises(Exception, match="key occurs more than once: 1"):
         changes.merge_upsert(master, twice, ["k"]).collect()
+
+
+def test_a_type_2_load_shuffles_each_image_once(rows, collected):
+    dim = rows([("a", 1, "2024-01-01", "9999-12-31", 1), ("a", 2, "2024-01-01", "9999-12-31", 1), (None, 3, "2024-01-01", "9999-12-31", 1),
+                ("a", 0, "2023-01-01", "2024-01-01", 0)], "k string, v int, s string, e string, IS_CURRENT_FLAG int").select(
+        "k", "v", F.col("s").cast("date").alias("EFF_START_DATE"), F.col("e").cast("date").alias("EFF_END_DATE"), "IS_CURRENT_FLAG")
+    got = changes.scd2_merge(dim, rows([("a", 2), (None, 4), ("n", 5)], "k string, v int"), ["k"], ["v"], "2024-02-01")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(((r.k, r.v, str(r.EFF_START_DATE), r.IS_CURRENT_FLAG) for r in got.collect()), key=repr) == sorted([
+        ("a", 0, "2023-01-01", 0), ("a", 1, "2024-01-01", 0), ("a", 2, "2024-02-01", 1), ("a", 2, "2024-01-01", 1),
+        (None, 3, "2024-01-01", 0), (None, 4, "2024-02-01", 1), ("n", 5, "2024-02-01", 1)], key=repr)
+    with pytest.raises(Exception, match="key occurs more than once: n"):
+        changes.scd2_merge(dim, rows([("n", 2), ("n", 2)], "k string, v int"), ["k"], ["v"], "2024-02-01").collect()
+
+
+def test_digests_are_packed_without_loss(rows):
+    texts = ["ab" * 32, "AB" * 32, "abc", "", None, "00", "01", "zz", "ab\n", "é", "a" * 33]
+    got = rows([(t,) for t in texts], "h string").select("h", maths.pack_digest("h").alias("p")).select("h", F.length("p").alias("n"), maths.unpack_digest("p").alias("u")).collect()
+    assert [r.u for r in got] == texts and got[0].n == 33
