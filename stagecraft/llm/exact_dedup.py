@@ -212,35 +212,50 @@ def digest_column(text_col: str) -> Column:
     return run(as_bytes(text_col))
 
 
-def screen_column(dropped: DataFrame, id_col: str, own: str, known: str, digest: str, shard_keys: int) -> Column:
-    """Whether a document can be among the dropped rows: False is certain.
+class Screen:
+    """Whether a key can be in a set: False is certain.
 
-    A binary-fuse filter for each shard of the dropped rows' (id, digest).  The filters take 9 bits a key and go to every
-    task while there are at most ``SCREENED`` keys; beyond that every row may be one.
+    A binary-fuse filter for each shard of the set.  Keys are 64-bit hashes; the filters take 9 bits a key and go to every
+    task while there are at most ``SCREENED`` keys; beyond that every key may be in it.
     """
+
+    def __init__(self, keys: DataFrame, shard_keys: int = 200_000) -> None:
+        """``keys`` has one column ``key``, a long."""
+        n = keys.count()
+        self.all, self.shards, self.shared = n > SCREENED, max(1, -(-n // shard_keys)), None
+        if not self.all:
+            found = build_filters(keys.withColumn("shard", F.pmod("key", F.lit(self.shards)).cast("int"))).collect()
+            self.shared = keys.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] for r in found})
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Inside a task."""
+        if self.all:
+            return np.ones(len(keys), bool)
+        out, shard = np.zeros(len(keys), bool), keys % self.shards
+        for s in np.unique(shard).tolist():
+            if s in self.shared.value:
+                at = shard == s
+                out[at] = FuseFilter.from_bytes(self.shared.value[s]).holds(keys[at])
+        return out
+
+    def column(self, key: Column) -> Column:
+        if self.all:
+            return F.lit(True)
+        screen = self
+
+        @F.pandas_udf("boolean")
+        def maybe(keys: pd.Series) -> pd.Series:
+            return pd.Series(screen.holds(keys.to_numpy()))
+
+        return maybe(key)
+
+
+def screen_column(dropped: DataFrame, id_col: str, own: str, known: str, digest: str, shard_keys: int) -> Column:
+    """Whether a document can be among the dropped rows, by (id, digest): False is certain."""
     def key_of(id_column: str, digest_column: str) -> Column:
         return F.xxhash64(F.col(f"`{id_column}`"), F.col(digest_column))
 
-    keys = dropped.select(key_of(known, digest).alias("key"))
-    n = keys.count()
-    if n > SCREENED:
-        return F.lit(True)
-    shards = max(1, -(-n // shard_keys))
-    shard_of = lambda key: F.pmod(F.hash(key), F.lit(shards))
-    found = build_filters(keys.withColumn("shard", shard_of(F.col("key")))).collect()
-    shared = dropped.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] for r in found})
-
-    @F.pandas_udf("boolean")
-    def maybe(key: pd.Series, shard: pd.Series) -> pd.Series:
-        out = np.zeros(len(key), bool)
-        for s in shard.unique():
-            if s in shared.value:
-                at = (shard == s).to_numpy()
-                out[at] = FuseFilter.from_bytes(shared.value[s]).holds(key.to_numpy()[at])
-        return pd.Series(out)
-
-    key = key_of(id_col, own)
-    return maybe(key, shard_of(key))
+    return Screen(dropped.select(key_of(known, digest).alias("key")), shard_keys).column(key_of(id_col, own))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = 200_000) -> DataFrame:

@@ -21,6 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stagecraft.llm.exact_dedup import Screen
 from stagecraft.llm.graph import connected_components
 from stagecraft.llm.util import as_bytes, free_names, map_arrow
 from stagecraft.runtime import store
@@ -138,11 +139,17 @@ def one_of_each(docs: DataFrame, groups: DataFrame, mark: str, mark_of: Column,
 
     ``groups`` is (id, mark, component_id, root) of every row, and ``mark_of`` gives a document's mark.
     """
-    names = free_names(docs, "id", "mark", "least", "root")
+    names = free_names(docs, "id", "mark", "least", "root", "maybe")
     keep = F.col("id").eqNullSafe(F.col("component_id"))
     ids = groups.groupBy(F.col("id").alias(names["id"])).agg(F.count(F.lit(1)).alias("n"), F.max(keep).alias("keep"))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(names["id"]))
-    kept = docs.join(ids.where("n > 1 or not keep").select(names["id"]), same, "left_anti")
+    # A filter of the ids to drop lets all others pass where they are; only what it holds is shuffled.
+    gone = store(ids.where("n > 1 or not keep").select(names["id"]), "gone")
+    maybe = Screen(gone.select(F.xxhash64(names["id"]).alias("key"))).column(F.xxhash64(F.col(f"`{id_col}`")))
+    screened = docs.withColumn(names["maybe"], maybe)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = screened.where(~F.col(names["maybe"])).select(*columns).unionByName(
+        screened.where(F.col(names["maybe"])).join(gone, same, "left_anti").select(*columns))
     repeated = ids.where("n > 1").select(names["id"])
     if not repeated.isEmpty():
         roots = groups.where(keep).select(F.col(mark).alias(names["mark"]), F.col("component_id").alias(names["least"]),
@@ -150,5 +157,5 @@ def one_of_each(docs: DataFrame, groups: DataFrame, mark: str, mark_of: Column,
         again = docs.join(repeated, same, "left_semi").withColumn(names["mark"], mark_of)
         again = again.join(roots, names["mark"]).where(F.col(f"`{id_col}`").eqNullSafe(F.col(names["least"])))
         # By the group, not by its least id: unrelated groups may share one, or have none.
-        kept = kept.unionByName(again.dropDuplicates([names["root"]]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+        kept = kept.unionByName(again.dropDuplicates([names["root"]]).select(*columns))
     return kept

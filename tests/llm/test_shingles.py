@@ -2,9 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stagecraft.llm import shingles
+from stagecraft.llm.exact_dedup import Screen
 from stagecraft.runtime import table
 
 
@@ -152,3 +154,25 @@ def test_odd_documents(odd_documents, no_documents):
     # Id 2 has a copy of document 1 twice, and a text of its own; 5 and the NULL ids have no words, as 3 has; 6 is 4 in capitals.
     assert ids == Counter({1: 1, 2: 1, 3: 1, 4: 1, 7: 1, 8: 1, 9: 1}) == Counter(k for k, _ in brute_kept(data).elements())
     assert shingles.keep_one(no_documents).collect() == []
+
+
+def test_texts_that_meet_no_other_are_not_shuffled(rows):
+    data = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(60)] + [(60, " ".join(f"w7x{j}" for j in range(20)) + " .")]
+    docs = rows(data, "doc_id long, text string")
+    nodes = docs.where("doc_id < 3").select(shingles.node_column("text").alias("node"))
+    known = Screen(nodes.select(shingles.node_key(F.col("node")).alias("key")))
+    met = shingles.member_texts(docs, nodes, known, "text")
+    assert met.count() == 3
+    assert docs.select(known.column(shingles.node_key(shingles.node_column("text"))).alias("m")).where("m").count() < 10
+    kept = shingles.keep_one(docs)
+    # The rows that the filter lets pass reach the result beside the join.
+    assert "Union" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+def test_screen_has_no_false_negatives(spark):
+    for n, shard_keys in ((0, 10), (1, 10), (1000, 10), (1000, 2000)):
+        keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+        maybe = Screen(keys, shard_keys).column(F.xxhash64("id"))
+        found = [r.id for r in spark.range(5000).where(maybe).collect()]
+        assert set(range(n)) <= set(found) and len(found) <= n + 200
