@@ -1,0 +1,23 @@
+"""Helpers of the operators."""
+
+from stagecraft.llm.util import Memo, map_arrow
+
+
+def test_a_task_frees_caches_that_refer_to_their_owner(spark, tmp_path):
+    def make():
+        import weakref
+
+        class Owner:
+            def __init__(self):
+                self.known = Memo(self.size, 10)
+
+            def size(self, word):
+                return len(word)
+
+        owner = Owner()
+        weakref.finalize(owner, (tmp_path / "freed").touch).atexit = False
+        return lambda batch: iter([{"n": [owner.known[w] for w in batch.column(0).to_pylist()]}])
+
+    words = spark.createDataFrame([("a",), ("bcd",)], "w string").coalesce(1)
+    assert sorted(r.n for r in map_arrow(words, make, "n int").collect()) == [1, 3]
+    assert (tmp_path / "freed").exists()
