@@ -36,9 +36,7 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
-        low = np.zeros((n, bits), np.uint8)
-        for k in range(bits):
-            low[:, k] = (values >> np.uint64(k)) & np.uint64(1)
+        low = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, count=bits, bitorder="little")
         lows = np.concatenate([np.packbits(low.ravel(), bitorder="little"), np.zeros(16, np.uint8)])
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = -(-(n + (universe >> bits) + 2) // 64) * 64

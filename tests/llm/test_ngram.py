@@ -105,3 +105,58 @@ def test_probabilities_after_a_context_sum_to_one(small):
         for v in range(-1, size):
             p = 10 ** trie.log_p(np.full(size + 1, u), np.full(size + 1, v), np.append(seen, -1), np.append(log_p1, unknown))
             assert abs(p.sum() - 1) < 0.02
+
+
+@pytest.mark.parametrize("sizes", [{}, {"vocabulary": 3, "hot": 8, "kept": 400}, {"vocabulary": 0, "hot": 0, "kept": 150}])
+def test_scores_come_from_all_ngrams_of_all_words(spark, sizes):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in 1.3 ** rng.integers(0, 16, rng.integers(0, 60))) for _ in range(40)]
+    texts += [*texts[:10], "only here", "only here again", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.id: r for r in ngram.score_documents(docs, id_crc("doc_id") % 10 == 0, **sizes).collect()}
+
+    streams = {k: ["<", "", *(t or "").split(), ""] for k, t in enumerate(texts)}
+    triples = {k: list(zip(s, s[1:], s[2:])) for k, s in streams.items()}
+    train = [t for k, ts in triples.items() if not got[k].held_out for t in ts]
+    ones, twos, threes = Counter(w for _, _, w in train), Counter((v, w) for _, v, w in train), Counter(train)
+    spans, follows = Counter((u, v) for u, v, _ in train), Counter(v for _, v, _ in train)
+    # The codes, parts and shards that say which trigrams share a discount.
+    total, hot, kept = len(train), sizes.get("hot", 1 << 17), sizes.get("kept", 1_250_000)
+    shards = max(1, -(-total // kept))
+    cut = ngram._cutoff(spark.createDataFrame([(w, n) for w, n in ones.items()], "w string, n long"), hot)
+    head = sorted((w for w in ones if ones[w] >= cut), key=lambda w: (-ones[w], w.encode()))
+    rank = ngram.Codes({w.encode(): i for i, w in enumerate(head)})
+    parts = np.minimum([-(-ones[w] // (kept // 2)) for w in head[:sizes.get("vocabulary", 8192)]], shards).astype(np.int64)
+    code = lambda w: ngram.START if w == "<" else rank[w.encode()]
+    place = lambda u, v: (v, int(ngram.shard_of(np.array([code(u)]), np.array([code(v)]), parts, shards)[0]))
+    assert bool((parts > 1).any()) == (sizes.get("vocabulary") == 3)
+
+    def discount(counts):
+        one, two = counts.count(1), counts.count(2)
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one + two else 0.5
+
+    by2, by3 = {}, {}
+    for (v, w), n in twos.items():
+        by2.setdefault(v, {})[w] = n
+    for (u, v, w), n in threes.items():
+        by3.setdefault(place(u, v), []).append(n)
+    next3 = {}
+    for (u, v, w), n in threes.items():
+        next3.setdefault((u, v), {})[w] = n
+    p1 = lambda w: (ones[w] + 0.1) / (total + 0.1 * (len(ones) + 1))
+
+    def p2(v, w):
+        found = by2.get(v, {})
+        d = discount(list(found.values()))
+        return max(found.get(w, 0) - d, 0) / max(1, follows[v]) + (d * len(found) / follows[v] if found else 1) * p1(w)
+
+    def p3(u, v, w):
+        found = next3.get((u, v), {})
+        if not found:
+            return p2(v, w)
+        d = discount(by3[place(u, v)])
+        return max(found.get(w, 0) - d, 0) / spans[u, v] + d * len(found) / spans[u, v] * p2(v, w)
+
+    # Probabilities are 256 quantile means a level.
+    off = [abs(got[k].score - sum(math.log10(p3(*t)) for t in ts)) / len(ts) for k, ts in triples.items()]
+    assert len(got) == len(off) == len(texts) and max(off) < 0.05 and np.mean(off) < 0.01
