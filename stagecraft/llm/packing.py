@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stagecraft.llm.util import Memo, as_bytes, map_arrow
+from stagecraft.llm.util import Memo, as_bytes, map_arrow, release
 from stagecraft.runtime import store
 
 
@@ -58,24 +58,27 @@ class TokenBytes:
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, tokenizer_json: bytes, limit: int = 300_000, added: bool = False) -> None:
+    def __init__(self, tokenizer_json: bytes, limit: int = 100_000, added: bool = False) -> None:
         import public_tokenizers
         import tiktoken
 
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
                                           mergeable_ranks=byte_ranks(tokenizer_json))
-        self.known = Memo(self._part, limit)
+        encoding = self.encoding
+
+        # Not methods: a memo that refers to its owner outlives the task until the worker happens to collect its garbage.
+        def encode(text: str) -> bytes:
+            return np.array(encoding.encode_ordinary(text), "<u4").tobytes()
+
+        def part(part: str) -> bytes | None:
+            """None for a part beside which no cut is allowed."""
+            return None if not part or part[0].isspace() or part[-1].isspace() else encode(" " + part)
+
+        self._encode, self.known = encode, Memo(part, limit)
         found = added_ids(tokenizer_json) if added else {}
         self.added = {content: np.array([i], "<u4").tobytes() for content, i in found.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-
-    def _part(self, part: str) -> bytes | None:
-        """None for a part beside which no cut is allowed."""
-        return None if not part or part[0].isspace() or part[-1].isspace() else self._encode(" " + part)
-
     def __call__(self, text: str) -> bytes:
         parts = self.split.split(text) if self.split else [text]
         if len(parts) == 1:
@@ -224,6 +227,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         out["start"] += start
         out["length"], out["offset"] = size, offset
         out["sequence_id"] = (int(part["group"].iloc[0]) << 32) + sequence
+        release()
         return out[[*columns, "sequence_id", "offset"]]
 
     kind = pieces.schema["id"].dataType.simpleString()

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stagecraft.llm.util import Memo, id_crc, map_arrow
+from stagecraft.llm.util import Memo, id_crc, map_arrow, release
 from stagecraft.runtime import store
 
 # Closed classes of the grammar: English, German, French, Spanish.
@@ -33,6 +33,7 @@ TARGET_FACTOR = 1.25  # of an insult beside a target
 NEGATED = 0.6         # of an insult after a negation
 REPORTED = 0.6        # of an insult after a reporting verb
 REACH = 3             # words a negation reaches
+TERMS = 50_000        # terms held by a task before it passes them on
 PREFIXES = (3, 4, 5, 6, 7)  # lengths of learned word beginnings
 
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -170,6 +171,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", r
                 out["term"] += seen
                 out["fold"] += [fold] * len(seen)
                 out["toxic"] += [toxic] * len(seen)
+                if len(out["term"]) > TERMS:
+                    yield out
+                    out = {k: [] for k in out}
             yield out
         return step
 
@@ -207,6 +211,8 @@ def score_column(grammar: Grammar, text: Column) -> Column:
         marker = grammar.marker()
         for texts in batches:
             yield texts.map(lambda t: grammar.score(t, marker)).astype("float64")
+        marker = texts = None
+        release()
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 

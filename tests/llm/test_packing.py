@@ -137,3 +137,19 @@ def test_the_query_gives_the_ids_of_an_unchanged_tokenizer(spark, unchanged, tmp
     rows, ids = QUERIES["op1_pack_sequences"](spark, str(tmp_path)).collect(), np.array([64, 220, 50256, 275, 0], "<u4")
     assert sum(r.length for r in rows) == 5
     assert all(r.doc_tokens == 5 and r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in rows)
+
+
+def test_a_tokenizers_memory_goes_with_it():
+    import gc
+    import weakref
+
+    with open(packing.default_tokenizer(), "rb") as file:
+        encode = packing.TokenBytes(file.read())
+    encode("one two two")
+    kept = weakref.ref(encode.known)
+    gc.disable()
+    try:
+        del encode
+        assert kept() is None
+    finally:
+        gc.enable()

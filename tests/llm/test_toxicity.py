@@ -71,3 +71,21 @@ def test_odd_rows(spark, odd_documents, no_documents, grammar):
     assert fitted.lexicon == {}
     nothing = toxicity.fit_labels(no_documents, labels.where("doc_id > 99"))
     assert nothing.lexicon == {} and nothing.curve == toxicity.Grammar().curve
+
+
+def test_terms_leave_a_task_in_bounded_portions(spark, monkeypatch):
+    portions, real = [], toxicity.map_arrow
+
+    def watched(df, make, schema):
+        if schema.startswith("term string"):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"{i * 2000 + j:08d}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(2000)) for i in range(30)],
+                                                "toxic": [True] * 30, "fold": [0] * 30})
+            portions.extend(len(out["term"]) for out in make()(batch))
+        return real(df, make, schema)
+
+    monkeypatch.setattr(toxicity, "map_arrow", watched)
+    labelled = spark.createDataFrame([("some words", 0), ("other words", 1)], "text string, toxic int")
+    toxicity.fit(labelled)
+    assert len(portions) > 1 and max(portions) < 100_000
