@@ -82,6 +82,38 @@ def test_pairs_at_the_threshold_share_a_bucket():
     assert missed <= 3
 
 
+def test_a_pair_that_meets_in_no_band_is_found(rows):
+    words = [f"p5011w{j}" for j in range(9)]
+    a, b = (shingles.shingle_set(" ".join(w).encode(), 5) for w in (words, words[:8]))
+    assert shingles.alike(a, b, 0.8) and not set(shingles.band_keys(a)) & set(shingles.band_keys(b))
+    data = [(1, " ".join(words)), (2, " ".join(words[:8])), (3, " ".join(words[:7]))]  # 3 is alike 2 by 3 of 4 only
+    kept = shingles.keep_one(rows(data, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_alike_sets_meet_in_a_prefix_and_pass_the_sketch():
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        n = int(rng.integers(1, 400))
+        whole = rng.integers(0, 1 << 64, n + n // 2, np.uint64)
+        a, b = (np.unique(rng.permutation(whole)[:int(rng.integers(max(1, n - n // 5), n + 1))]) for _ in range(2))
+        both = np.unique(np.concatenate([a, whole[:n // 4]]))
+        for x, y in ((a, b), (a, both), (a, a[:max(1, -(-len(a) * 4 // 5))])):
+            if shingles.alike(x, y, 0.8):
+                marks = [(s >> np.uint64(3)) % np.uint64(2) == 0 for s in (x, y)]
+                assert set(shingles.prefix(x, marks[0], 0.8).tolist()) & set(shingles.prefix(y, marks[1], 0.8).tolist())
+                sketches = [np.frombuffer(shingles.sketch(s), np.uint8).reshape(1, -1) for s in (x, y)]
+                assert shingles.can_be_alike(*sketches, 0.8).all()
+
+
+def test_sizes_that_allow_the_similarity_share_a_range(spark):
+    pairs = [(b * 4 // 5 + (b * 4 % 5 > 0), b) for b in range(1, 3000)]
+    members = spark.createDataFrame([(b, f"{i}".encode(), n) for b, p in enumerate(pairs) for i, n in enumerate(p)], "bucket long, node binary, size long")
+    met = shingles.by_size(members, 0.8).groupBy("bucket").agg(F.countDistinct("node").alias("n")).where("n > 1")
+    assert met.count() >= len(pairs)
+    assert shingles.by_size(members.where("size = 2").limit(1).unionByName(members.where("size = 4").limit(1)), 0.8).groupBy("bucket").count().where("count > 1").count() == 0
+
+
 def boilerplate(n, seed=9):
     """Texts that share 60 of 100 words; a few have a near copy."""
     rng = random.Random(seed)
