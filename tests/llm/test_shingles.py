@@ -102,8 +102,12 @@ def test_alike_sets_meet_in_a_prefix_and_pass_the_sketch():
             if shingles.alike(x, y, 0.8):
                 marks = [(s >> np.uint64(3)) % np.uint64(2) == 0 for s in (x, y)]
                 assert set(shingles.prefix(x, marks[0], 0.8).tolist()) & set(shingles.prefix(y, marks[1], 0.8).tolist())
-                sketches = [np.frombuffer(shingles.sketch(s), np.uint8).reshape(1, -1) for s in (x, y)]
-                assert shingles.can_be_alike(*sketches, 0.8).all()
+                assert shingles.can_be_alike(shingles.sketch(x), shingles.sketch(y), 0.8)
+    for n in (100, 20_000):
+        sets = [np.sort(rng.integers(0, 1 << 64, n, np.uint64)) for _ in range(2)]
+        assert not shingles.can_be_alike(*map(shingles.sketch, sets), 0.8)
+    crowded = [np.arange(n, dtype=np.uint64) for n in (3000, 2500)]
+    assert shingles.can_be_alike(*map(shingles.sketch, crowded), 0.8)
 
 
 def test_sizes_that_allow_the_similarity_share_a_range(spark):
