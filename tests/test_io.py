@@ -243,6 +243,20 @@ def test_job_files_are_compressed_and_hold_every_record(spark, tmp_path):
     assert cat["stages"].count() == 160 and cat["links"].count() == Catalog(t).links.count()
 
 
+def test_job_files_are_made_by_several_tasks_and_equal_the_records_as_text(spark, tmp_path):
+    """One task wrote them where the rows that made them were few bytes, however many elements they became."""
+    t = lines(spark, tmp_path, [(o, n, o * 7 + n, o + n, float(n + o)) for o in range(40) for n in range(1, 5)])
+    path = io.write_job_files(t, 3)
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]) > 1
+    got = jobxml.catalog(jobxml.read_jobs(spark, path, "*.xml.gz"))
+    parsed = io._parsed(t, jobxml.RECORD)
+    for name, rows in (("columns", jobxml.columns(parsed)), ("derivations", jobxml.derivations(parsed)),
+                       ("stages", parsed.drop("pos", "rec").withColumn("props", F.array_sort(F.map_entries("props"))))):
+        of = got[name] if name != "stages" else got[name].withColumn("props", F.array_sort(F.map_entries("props")))
+        want = rows.withColumn("job_id", F.col("job_id").cast("string"))
+        assert of.count() == want.count() > 100 and not of.select(*want.columns).exceptAll(want).count()
+
+
 def test_stage_records_join_and_group_nothing(spark, tmp_path):
     t = lines(spark, tmp_path, [(1, 1, 6, 11, 3.0), (1, 2, 13, 5, 2.0), (None, 1, 6, 11, 3.0)])
     cat = Catalog(t, shared=True)
